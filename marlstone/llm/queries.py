@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import pieces, token_counts
+from marlstone.llm import line_dedup, pieces, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,11 +24,41 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, by a classifier that this table's confirmed toxic documents taught."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every document, and whether they decode to its text."""
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op9_sentencepiece)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that came before."""
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op9_sentencepiece, op10_line_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": r"""
+        WITH numbered AS (
+          SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+        lines AS (
+          SELECT k, doc_id, unnest(string_split(text, chr(10))) AS line,
+                 generate_subscripts(string_split(text, chr(10)), 1) AS pos
+          FROM numbered),
+        marked AS (
+          SELECT *, NOT regexp_matches(line, '\S')
+                    OR row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) = 1 AS stays
+          FROM lines),
+        put AS (
+          SELECT k, string_agg(line, chr(10) ORDER BY pos) FILTER (stays) AS text,
+                 count(*) FILTER (NOT stays) AS n_dropped
+          FROM marked GROUP BY k)
+        SELECT n.doc_id, CASE WHEN n.text IS NULL THEN NULL ELSE coalesce(p.text, '') END AS text,
+               CAST(coalesce(p.n_dropped, 0) AS INTEGER) AS n_dropped
+        FROM numbered n LEFT JOIN put p USING (k)""".replace("\\\\", "\\"),
+}
