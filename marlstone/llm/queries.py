@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontaminate, line_dedup, near_dedup, pieces, token_counts, toxicity
+from marlstone.llm import decontaminate, licenses, line_dedup, near_dedup, pieces, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All licences that documents name."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that it holds."""
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -50,9 +55,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op5_decontamination, op7_near_dedup, op9_sentencepiece, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_license_scan, op5_decontamination, op7_near_dedup, op9_sentencepiece, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": licenses.oracle_sql(),
     "op10_line_dedup": r"""
         WITH numbered AS (
           SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
