@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontaminate, licenses, line_dedup, near_dedup, pieces, token_counts, toxicity
+from marlstone.llm import decontaminate, licenses, line_dedup, near_dedup, ngram_lm, pieces, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the model of all of them."""
+    docs = _table(spark, sf_dir, "documents")
+    return ngram_lm.perplexity(docs, ngram_lm.train(docs))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that are exact or near copies of others, with their groups."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -55,7 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_license_scan, op5_decontamination, op7_near_dedup, op9_sentencepiece, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_license_scan, op5_decontamination, op6_lm_scoring, op7_near_dedup, op9_sentencepiece, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": licenses.oracle_sql(),
