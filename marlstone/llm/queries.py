@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontaminate, licenses, line_dedup, near_dedup, ngram_lm, pieces, token_counts, toxicity
+from marlstone.llm import decontaminate, licenses, line_dedup, near_dedup, ngram_lm, pieces, reshard, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard, after the table's files became a quarter more shards of equal size."""
+    table, _ = reshard.reshard(spark, f"{sf_dir}/documents.parquet")
+    return table.select("doc_id", "shard", "rewritten")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every document, and whether they decode to its text."""
     return pieces.encode(_table(spark, sf_dir, "documents"))
@@ -61,7 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_license_scan, op5_decontamination, op6_lm_scoring, op7_near_dedup, op9_sentencepiece, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_license_scan, op5_decontamination, op6_lm_scoring, op7_near_dedup, op8_resharding, op9_sentencepiece, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": licenses.oracle_sql(),
