@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontaminate, licenses, line_dedup, near_dedup, ngram_lm, pieces, reshard, token_counts, toxicity
+from marlstone.llm import decontaminate, licenses, line_dedup, near_dedup, neighbours, ngram_lm, pieces, reshard, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest others of every vector."""
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All licences that documents name."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
@@ -67,7 +72,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_license_scan, op5_decontamination, op6_lm_scoring, op7_near_dedup, op8_resharding, op9_sentencepiece, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_nearest_neighbours, op4_license_scan, op5_decontamination, op6_lm_scoring, op7_near_dedup, op8_resharding, op9_sentencepiece, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": licenses.oracle_sql(),
