@@ -1,0 +1 @@
+"""Nothing yet: all of the reference's inputs are bounded, so every plan here is a batch."""
