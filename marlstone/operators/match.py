@@ -7,8 +7,11 @@ distinct texts once. No side is broadcast by order: Spark does so where its size
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -138,6 +141,52 @@ def vector_argmax(queries: DataFrame, data: DataFrame, similarity: Scorer) -> Da
     return scored.groupBy("query_id").agg(best).select("query_id", "b.best_id", "b.sim")
 
 
+def nearest_vectors(queries: DataFrame, data: DataFrame, block_rows: int = 2048) -> DataFrame:
+    """vector_argmax by cosine, a block of queries and a block of data at a time: one matrix product instead of a loop for each pair.
+
+    Ids are integers. Vectors of zeros, with a null or NaN entry, or of another length than
+    those of the block that they meet have no similarity. The number of blocks grows with
+    the tables, so that a task's share doesn't.
+    """
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        n = max(1, -(-df.count() // block_rows))
+        rows = df.where("id is not null and v is not null").groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"))
+        return rows.agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias(name)).drop("b")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q, d in zip(batch["q"], batch["d"], strict=True):
+                left, right = _by_length(q), _by_length(d)
+                for n in left.keys() & right.keys():
+                    (qi, x), (di, y) = left[n], right[n]
+                    sim = x @ y.T
+                    sim[qi[:, None] == di[None, :]] = -np.inf
+                    at = sim.argmax(axis=1)
+                    made = pd.DataFrame({"query_id": qi, "best_id": di[at], "sim": sim[np.arange(len(qi)), at]})
+                    yield made[np.isfinite(made.sim)]
+
+    pairs = blocks(queries, "q").crossJoin(blocks(data, "d"))
+    found = pairs.mapInPandas(compare, "query_id bigint, best_id bigint, sim double")
+    best = F.max_by(F.struct("best_id", "sim"), F.struct("sim", -F.col("best_id"))).alias("b")
+    return found.groupBy("query_id").agg(best).select("query_id", "b.best_id", "b.sim")
+
+
+def _by_length(rows: Sequence[dict[str, Any]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors at length 1, by the vectors' length."""
+    sized: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for row in rows:
+        v = np.asarray(row["v"], np.float64)
+        sized.setdefault(len(v), []).append((row["id"], v))
+    out = {}
+    for n, own in sized.items():
+        ids, x = np.array([i for i, _ in own]), np.stack([v for _, v in own])
+        norm = np.sqrt((x**2).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        out[n] = (ids[good], x[good] / norm[good, None])
+    return {n: found for n, found in out.items() if len(found[0])}
+
+
 def adjudicated_matches(ext: DataFrame, gt: DataFrame, candidates: DataFrame, adjudications: DataFrame) -> DataFrame:
     """Records for which somebody chose a candidate: adjudications has row_id and choice, the candidate's number from 0.
 

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import csv_text, fuzzy, text
-from marlstone.functions.vectors import cosine
 from marlstone.models import melt, wide
 from marlstone.operators import match, metrics, roc, sampling
 from marlstone.plans import extraction
@@ -317,7 +316,7 @@ _COSINE = (
 
 def _argmax(spark: SparkSession, sf: str) -> DataFrame:
     v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return match.vector_argmax(v, v, cosine).withColumn("sim", F.round("sim", 6))
+    return match.nearest_vectors(v, v).withColumn("sim", F.round("sim", 6))
 
 
 @query(_COSINE)

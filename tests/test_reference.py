@@ -243,6 +243,15 @@ def test_vectors(spark):
     assert found[2:] == [None, None]
 
 
+def test_nearest_vectors_are_those_of_the_expression(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for k in range(90)] + [(90, None), (91, [1.0]), (92, [float("nan")] * 4)]
+    v = spark.createDataFrame(rows, "id long, v array<float>")
+    want = {(r.query_id, round(r.sim, 9)) for r in match.vector_argmax(v, v, cosine).collect()}
+    for size in (7, 2048):
+        assert {(r.query_id, round(r.sim, 9)) for r in match.nearest_vectors(v, v, size).collect()} == want
+
+
 def test_choices(spark):
     df = spark.createDataFrame([("0",), ("9",), ("10",), ("11",), ("x",), ("",), (None,), ("99999999999999999999",)], "c string")
     kinds = [r[0] for r in df.select(text.choice_kind(F.col("c"), F.lit(10))).collect()]
