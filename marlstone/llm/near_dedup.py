@@ -156,6 +156,11 @@ def _tree(values: np.ndarray, path: np.ndarray, threshold: float, least: int, sm
     return np.concatenate(left), np.concatenate(right)
 
 
+def least_agreeing(threshold: float, coordinates: int) -> int:
+    """Coordinates in which near copies agree at least, by chance or not."""
+    return int(np.ceil((threshold + (1 - threshold) / 256) * coordinates - 1e-9))
+
+
 def trees_for(threshold: float, recall: float) -> int:
     """Trees so that a pair at the threshold meets with the recall, if its path ends after at most two branchings.
 
@@ -221,7 +226,7 @@ def groups(
     signed = written(source.mapInArrow(sign, "did bigint, uid bigint, sig bigint, vals binary, paths array<bigint>"), "signatures")
     one = signed.groupBy("sig").agg(F.first(F.struct("vals", "paths")).alias("s"))
     # agreement by chance of values cut to 8 bits counts too
-    least = int(np.ceil((threshold + (1 - threshold) / 256) * coordinates))
+    least = least_agreeing(threshold, coordinates)
 
     def values_of(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, coordinates)
@@ -275,9 +280,9 @@ def duplicates(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """doc_id, group_id and kept for every document that is an exact or near copy of another.
 
-    Two documents are near copies if their signatures agree in at least threshold of
-    the coordinates, which estimates the Jaccard similarity of their word pairs; a
-    group is what such pairs connect. group_id is the least doc_id of the group, and
+    Two documents are near copies if their signatures, cut to 8 bits a coordinate, agree
+    in at least threshold of the coordinates and the share that chance adds, which
+    estimates the Jaccard similarity of their word pairs; a group is what such pairs connect. group_id is the least doc_id of the group, and
     the document that has it is kept: null ids come first, equal ids are told apart
     by a hash of the text, and of repeated rows each has a row here, all kept or none. Null texts and
     texts without words are in no group. Other columns are not read.

@@ -150,6 +150,11 @@ def _row_bytes(schema: T.StructType) -> Column:
     return size
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """The table, to be broadcast if it has so few rows as to be a few MB; else Spark chooses the join."""
+    return F.broadcast(df) if rows <= 100_000 else df
+
+
 def plan(spark: SparkSession, path: str, capacities: Sequence[int] | None = None) -> tuple[list[str], list[int], DataFrame]:
     """Files of a Parquet table in the order of their names, their bytes, and the blocks.
 
@@ -174,8 +179,8 @@ def plan(spark: SparkSession, path: str, capacities: Sequence[int] | None = None
         return files, sizes, spark.createDataFrame([], PLAN)
     spans = spark.createDataFrame(bounds, f"`{file}` string, old int, new int, begin bigint, stop bigint")
     ends = rows.withColumn(end, F.sum(size).over(Window.partitionBy(file).orderBy(row)) - F.col(size))
-    # a row belongs to the block in which it begins; spans has a few rows for each file
-    blocks = ends.join(F.broadcast(spans), file).where((F.col(end) >= F.col("begin")) & (F.col(end) < F.col("stop")))
+    # a row belongs to the block in which it begins
+    blocks = ends.join(_small(spans, len(bounds)), file).where((F.col(end) >= F.col("begin")) & (F.col(end) < F.col("stop")))
     blocks = blocks.groupBy("old", "new", "begin").agg(F.min(row).alias("low"), (F.max(row) + 1).alias("high"))
     return files, sizes, written(blocks.select("old", "new", "low", "high"), "plan")
 
@@ -185,7 +190,7 @@ def reshard(spark: SparkSession, path: str, capacities: Sequence[int] | None = N
 
     capacities are the bytes that the new shards hold, a quarter more shards of equal
     size unless given. Files that lose no row stay as they are. The other rows are
-    written to out/mls_shard=k, next to what is kept. Rows are moved as they are: nulls,
+    written to folders out/mls_shard=k, next to what is kept. Rows are moved as they are: nulls,
     repeated rows, empty and long texts are no different. A table without rows stays
     as it is. If a column is named shard or rewritten, the new one's name gets a _.
     """
@@ -199,21 +204,23 @@ def reshard(spark: SparkSession, path: str, capacities: Sequence[int] | None = N
     kept = {r.old for r in kept.select("old").toLocalIterator()}
     lost = [k for k in range(len(files)) if k not in kept]
     parts = []
+    file, row, old, low, high, to = fresh(table, "mls_file", "mls_row", "mls_old", "mls_low", "mls_high", "mls_shard")
+    columns = [F.col(f"`{c}`") for c in table.columns]
     if kept:
-        number = spark.createDataFrame([(files[k], k) for k in sorted(kept)], f"mls_file string, `{shard}` int")
+        number = spark.createDataFrame([(files[k], k) for k in sorted(kept)], f"`{file}` string, `{shard}` int")
         whole = spark.read.schema(table.schema).parquet(*[files[k] for k in sorted(kept)])
-        named = whole.select("*", F.col("_metadata.file_path").alias("mls_file"))
-        parts.append(named.join(F.broadcast(number), "mls_file").select(*[f"`{c}`" for c in table.columns], shard, F.lit(False).alias(again)))
+        named = whole.select(*columns, F.col("_metadata.file_path").alias(file))
+        parts.append(named.join(_small(number, len(kept)), file).select(*columns, shard, F.lit(False).alias(again)))
     if lost:
-        [to] = fresh(table, "mls_shard")
-        names = spark.createDataFrame([(files[k], k) for k in lost], "mls_file string, old int")
-        ranges = blocks.join(F.broadcast(names), "old").select("mls_file", F.col("new").alias(to), "low", "high")
+        names = spark.createDataFrame([(files[k], k) for k in lost], f"`{file}` string, `{old}` int")
+        spans = blocks.select(F.col("old").alias(old), F.col("new").alias(to), F.col("low").alias(low), F.col("high").alias(high))
+        ranges = _small(spans.join(names, old).drop(old), 4 * len(files))
         source = spark.read.schema(table.schema).parquet(*[files[k] for k in lost])
-        source = source.select("*", F.col("_metadata.file_path").alias("mls_file"), F.col("_metadata.row_index").alias("mls_row"))
-        # a few ranges for each file; no row is shuffled
-        moved = source.join(F.broadcast(ranges), "mls_file").where((F.col("mls_row") >= F.col("low")) & (F.col("mls_row") < F.col("high")))
-        moved.select(*[f"`{c}`" for c in table.columns], to).write.partitionBy(to).parquet(out)
+        source = source.select(*columns, F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+        # a few ranges for each file: no row is shuffled
+        moved = source.join(ranges, file).where((F.col(row) >= F.col(low)) & (F.col(row) < F.col(high)))
+        moved.select(*columns, to).write.partitionBy(to).parquet(out)
         schema = T.StructType([*table.schema.fields, T.StructField(to, T.IntegerType())])
         new = spark.read.schema(schema).parquet(out)
-        parts.append(new.select(*[f"`{c}`" for c in table.columns], F.col(to).alias(shard), F.lit(True).alias(again)))
+        parts.append(new.select(*columns, F.col(to).alias(shard), F.lit(True).alias(again)))
     return (parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]), out

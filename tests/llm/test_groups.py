@@ -25,10 +25,11 @@ def brute_groups(ids: list[int], texts: list[str], threshold: float) -> dict[int
     """Least id of each document's group, by comparing all signatures; documents alone are left out."""
     found = near_dedup.signatures(pa.array(texts))
     words = (found != 0xFFFFFFFF).any(axis=1)
+    found, least = found.astype(np.uint8), near_dedup.least_agreeing(threshold, found.shape[1])
     group = list(range(len(ids)))
     for i in range(len(ids)):
         for j in range(i):
-            if words[i] and words[j] and (found[i] == found[j]).mean() >= threshold:
+            if words[i] and words[j] and (found[i] == found[j]).sum() >= least:
                 a, b = sorted((group[i], group[j]))
                 group = [a if g == b else g for g in group]
     size = Counter(group)
