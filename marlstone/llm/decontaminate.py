@@ -284,3 +284,59 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, q
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+def _runs_sql(words: str) -> str:
+    """Distinct runs of RUN words, or of all if there are fewer, as strings."""
+    return (
+        f"list_distinct(list_transform(range(1, greatest(len({words}) - {RUN} + 1, least(len({words}), 1)) + 1), "
+        f"lambda i: array_to_string({words}[i : i + least({RUN}, len({words})) - 1], ' ')))"
+    )
+
+
+def oracle_sql(share: float = SHARE, question: float = QUESTION, answer: float = ANSWER) -> str:
+    """DuckDB's version of leaks(): every passage against every item, without an index."""
+    half = PASSAGE // 2
+    words = r"list_filter(list_transform(string_split_regex({0}, '[\s\p{{Z}}]+'), lambda w: regexp_replace(lower(w), '[^\p{{L}}\p{{N}}]', '', 'g')), lambda w: w <> '')"
+    return rf"""
+        WITH sentences AS (
+          SELECT item_id, text, list_filter(list_transform(
+                   string_split(replace(replace(replace(text, '? ', '?' || chr(10)), '. ', '.' || chr(10)), '! ', '!' || chr(10)), chr(10)),
+                   lambda s: {words.format("s")}), lambda s: len(s) > 0) AS s
+          FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+        items AS (
+          SELECT row_number() OVER (ORDER BY item_id, text) AS k, item_id, flatten(s) AS words,
+                 len(flatten(s)) - CASE WHEN len(s) > 1 THEN len(s[-1]) ELSE 0 END AS q
+          FROM sentences WHERE len(s) > 0),
+        entries AS (
+          SELECT row_number() OVER (ORDER BY k, low) AS e, k,
+                 CASE WHEN len(words) - low - {half} >= {half // 2} THEN words[low + 1 : low + {half}] ELSE words[low + 1 :] END AS words
+          FROM (SELECT k, words, unnest(range(0, len(words), {half})) AS low FROM items)
+          WHERE low = 0 OR len(words) - low >= {half // 2}),
+        tf AS (SELECT e, w, count(*) AS c FROM (SELECT e, unnest(words) AS w FROM entries) GROUP BY e, w),
+        idf AS (SELECT w, ln(1 + ((SELECT count(*) FROM entries) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY w),
+        raw AS (
+          SELECT e, w, idf * c * {K1 + 1} / (c + {K1} * ({1 - B} + {B} * len(words) / (SELECT avg(len(words)) FROM entries))) AS x
+          FROM tf JOIN idf USING (w) JOIN entries USING (e)),
+        postings AS (SELECT e, w, x / sum(x) OVER (PARTITION BY e) AS x FROM raw),
+        docs AS (
+          SELECT d, doc_id, {words.format("text")} AS words
+          FROM (SELECT row_number() OVER () AS d, doc_id, text FROM documents WHERE text IS NOT NULL)),
+        windows AS (
+          SELECT d, words, unnest(range(0, greatest(1, CAST(ceil((len(words) - {half}) / {half}) AS BIGINT)))) AS p FROM docs),
+        terms AS (SELECT DISTINCT d, p, unnest(words[p * {half} + 1 : p * {half} + {PASSAGE}]) AS w FROM windows),
+        found AS (SELECT d, p, e, sum(x) AS score FROM terms JOIN postings USING (w) GROUP BY d, p, e HAVING sum(x) >= {share} - 1e-9),
+        best AS (SELECT d, k, max(score) AS score FROM found JOIN entries USING (e) GROUP BY d, k),
+        runs AS (
+          SELECT k, item_id, {_runs_sql("words[1 : q]")} AS question,
+                 {_runs_sql("(CASE WHEN q < len(words) THEN words[q + 1 :] ELSE words END)")} AS answer
+          FROM items),
+        held AS (
+          SELECT doc_id, item_id, score, question, answer, docs.words AS w FROM best JOIN runs USING (k) JOIN docs USING (d)),
+        shares AS (
+          SELECT doc_id, item_id, score,
+                 len(list_filter(question, lambda r: contains(' ' || array_to_string(w, ' ') || ' ', ' ' || r || ' '))) / len(question) AS a,
+                 len(list_filter(answer, lambda r: contains(' ' || array_to_string(w, ' ') || ' ', ' ' || r || ' '))) / len(answer) AS b
+          FROM held)
+        SELECT doc_id, item_id, round(score, 6) AS bm25_share, round(a, 6) AS question_overlap, round(b, 6) AS answer_overlap
+        FROM shares WHERE a >= {question} AND b >= {answer}"""

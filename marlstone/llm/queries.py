@@ -76,6 +76,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxic
 
 ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": licenses.oracle_sql(),
+    "op5_decontamination": decontaminate.oracle_sql(),
     "op10_line_dedup": r"""
         WITH numbered AS (
           SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
