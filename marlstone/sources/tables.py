@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone import schemas
 
@@ -36,14 +35,13 @@ BOILERPLATE = (
 
 
 def with_row_id(df: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
-    """Adds 0, 1, … in the order of the columns: a total order that files don't have.
+    """Adds numbers that grow in the order of the columns, which files don't have; with gaps.
 
     Where no column tells rows apart their order is that of their hashes. Without columns
-    it is the order in which the files are read.
+    it is the order in which the files are read. A sort by ranges, no single task.
     """
     if order:
-        keys = [F.col(c).asc_nulls_first() for c in order]
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys, F.xxhash64(*df.columns))) - 1).cast("bigint"))
+        df = df.orderBy(*(F.col(c).asc_nulls_first() for c in order), F.xxhash64(*df.columns))
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

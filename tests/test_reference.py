@@ -214,6 +214,13 @@ def test_files(spark, tmp_path):
     assert tables.model_names(spark).count() == 11
 
 
+def test_row_ids_follow_the_order(spark):
+    df = spark.createDataFrame([(k % 7, str(k)) for k in range(50)] + [(None, "x")], "a long, b string").repartition(5)
+    rows = sorted(tables.with_row_id(df, "a", "b").collect(), key=lambda r: r.row_id)
+    assert [(r.a, r.b) for r in rows] == sorted(((r.a, r.b) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert len({r.row_id for r in rows}) == 51
+
+
 def test_embedding_models(spark):
     import pandas as pd
 
