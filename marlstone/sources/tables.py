@@ -59,7 +59,9 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """
     reader = spark.read.schema(schemas.PAIRS).option("sep", "\t").option("quote", "")
     rows = reader.csv(path) if path.endswith((".txt", ".tsv")) else reader.option("pathGlobFilter", "*.txt").csv(path)
-    return rows.withColumn("row_id", F.monotonically_increasing_id())
+    keys = [F.col("_metadata.file_path").alias("mst_f"), F.col("_metadata.file_block_start").alias("mst_s"), F.monotonically_increasing_id().alias("mst_i")]
+    placed = rows.select("*", *keys).orderBy("mst_f", "mst_s", "mst_i")
+    return placed.withColumn("row_id", F.monotonically_increasing_id()).drop("mst_f", "mst_s", "mst_i")
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

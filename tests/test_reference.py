@@ -198,7 +198,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("2\tx\"q\ty\t1\n")
     (tmp_path / "c.md").write_text("no")
     pairs = tables.read_pairs(spark, str(tmp_path))
-    assert sorted(r.score for r in pairs.collect()) == [1.0, 3.5]
+    assert [r.score for r in sorted(pairs.collect(), key=lambda r: r.row_id)] == [1.0, 3.5]
     more = spark.createDataFrame([("s", "t", 2.0, "e")], "sentence1 string, sentence2 string, score double, extra string")
     both = evaluation.combine_pairs(pairs, more)
     assert both.count() == 3
