@@ -19,9 +19,18 @@ def is_empty_answer(response: Column) -> Column:
     return F.lower(response).contains(NOTHING_FOUND)
 
 
-def strip_literals(text: Column, literals: Sequence[str] = BOILERPLATE) -> Column:
-    """The text without the literals, taken away one after another in their order."""
-    return reduce(lambda c, literal: F.replace(c, F.lit(literal), F.lit("")), literals, text)
+def strip_literals(text: Column, literals: Sequence[str | tuple[str, str]] = BOILERPLATE) -> Column:
+    """The text without the literals, taken away one after another in their order.
+
+    A pair is a remark's beginning and end: the shortest text from one to the other goes.
+    """
+
+    def strip(c: Column, literal: str | tuple[str, str]) -> Column:
+        if isinstance(literal, str):
+            return F.replace(c, F.lit(literal), F.lit(""))
+        return F.regexp_replace(c, rf"(?s)\Q{literal[0]}\E.*?\Q{literal[1]}\E", "")
+
+    return reduce(strip, literals, text)
 
 
 def strip_reasoning(text: Column) -> Column:
