@@ -218,9 +218,9 @@ def groups(
             order = np.argsort(row, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(found)))]).astype(np.int32)
             paths = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([p for _, p in children])[order].view(np.int64)))
-            whole = hashes([x.tobytes() for x in found]).view(np.int64)
-            short = pa.array([x.tobytes() for x in found.astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column("did"), rows.column("uid"), pa.array(whole), short, paths], ["did", "uid", "sig", "vals", "paths"])
+            short = [x.tobytes() for x in found.astype(np.uint8)]
+            whole = hashes(short).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column("did"), rows.column("uid"), pa.array(whole), pa.array(short, pa.binary()), paths], ["did", "uid", "sig", "vals", "paths"])
 
     source = keyed.where("text is not null").select(F.col(did).alias("did"), F.col(uid).alias("uid"), "text")
     signed = written(source.mapInArrow(sign, "did bigint, uid bigint, sig bigint, vals binary, paths array<bigint>"), "signatures")
@@ -234,34 +234,39 @@ def groups(
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, child = _children(batch.column("path").to_numpy().view(np.uint64), values_of(batch.column("vals")), threshold)
-            rows = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), rows.column("sig"), rows.column("vals")], ["path", "sig", "vals"])
-
-    def below(rows: pa.Table) -> pa.Table:
-        sig = rows["sig"].to_numpy()
-        left, right = _tree(values_of(rows["vals"].combine_chunks()), rows["path"].to_numpy().view(np.uint64), threshold, least, small, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("vals").take(pa.array(row))], ["path", "vals"])
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # all nodes of a partition; a row carries no id, as the signature gives it
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        vals = [v for b in parts for v in b.column("vals").to_pylist()]
+        path = np.concatenate([b.column("path").to_numpy() for b in parts]).view(np.uint64)
+        sig = hashes(vals).view(np.int64)
+        left, right = _tree(np.frombuffer(b"".join(vals), np.uint8).reshape(-1, coordinates), path, threshold, least, small, 2)
         left, right = _stars(sig[left], sig[right])
-        return pa.table({"a": left, "b": right})
+        yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
 
     spark = docs.sparkSession
-    # so many that a bucket's rows fit a task at any size of the input
+    # so many that a partition's rows fit a task at any size of the input
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(signed.count() * trees / threshold / 30_000))
-    sizes = signed.select("sig", F.explode("paths").alias("path")).groupBy("path").count()
+    # copies count once
+    sizes = signed.groupBy("sig").agg(F.first("paths").alias("paths")).select(F.explode("paths").alias("path")).groupBy("path").count()
     large = written(sizes.where(F.col("count") > local_rows).select("path"), "large-nodes")
-    nodes = one.select(F.explode("s.paths").alias("path"), "sig", F.col("s.vals").alias("vals"))
+    nodes = one.select(F.explode("s.paths").alias("path"), F.col("s.vals").alias("vals"))
     links = []
     for _ in range(8):
         # nodes too large for one task branch once more across the cluster; most often there is none
         more = not large.isEmpty()
         here = nodes.join(large, "path", "left_anti") if more else nodes
-        bucketed = here.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets))).groupBy("bucket")
-        links.append(written(bucketed.applyInArrow(below, _EDGES), "links"))
+        links.append(written(here.repartition(buckets, "path").mapInArrow(below, _EDGES), "links"))
         if not more:
             break
-        nodes = written(nodes.join(large, "path", "left_semi").mapInArrow(branch, "path bigint, sig bigint, vals binary"), "nodes")
+        nodes = written(nodes.join(large, "path", "left_semi").mapInArrow(branch, "path bigint, vals binary"), "nodes")
         before, large = large, written(nodes.groupBy("path").count().where(F.col("count") > local_rows).select("path"), "large-nodes")
         if large.count() >= before.count() * 2:  # branching doesn't make them smaller: near copies of each other
-            links.append(written(nodes.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets))).groupBy("bucket").applyInArrow(below, _EDGES), "links"))
+            links.append(written(nodes.repartition(buckets, "path").mapInArrow(below, _EDGES), "links"))
             break
     edges = links[0]
     for found in links[1:]:
