@@ -66,8 +66,6 @@ class PieceModel:
                 if len(parts) == 2 and p == self.pieces[parts[0]] + self.pieces[parts[1]]:
                     self.halves[i] = (parts[0], parts[1])
         live = [p for p in self.ids if len(p) == 1 or self.ids[p] in self.halves]  # others are never produced
-        self.longest = max(map(len, live), default=1)
-        self._automaton(live)
         self._tables(live)
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
@@ -88,36 +86,8 @@ class PieceModel:
             parts[at : at + 2] = [self.ids[names[at]]]
         return parts
 
-    def _automaton(self, live: list[str]) -> None:
-        goto: list[dict[str, int]] = [{}]
-        own: list[int] = [-1]
-        depth = [0]
-        for piece in live:
-            state = 0
-            for c in piece:
-                if c not in goto[state]:
-                    goto[state][c] = len(goto)
-                    goto.append({})
-                    own.append(-1)
-                    depth.append(depth[state] + 1)
-                state = goto[state][c]
-            own[state] = self.ids[piece]
-        link = [0] * len(goto)
-        ends: list[tuple[tuple[int, int], ...]] = [()] * len(goto)  # (length, id) of the pieces that end here, the longest first
-        order = [0]
-        for state in order:
-            if state:
-                ends[state] = (((depth[state], own[state]),) if own[state] >= 0 else ()) + ends[link[state]]
-            for c, child in goto[state].items():
-                at = link[state]
-                while at and c not in goto[at]:
-                    at = link[at]
-                link[child] = goto[at][c] if state and c in goto[at] else 0
-                order.append(child)
-        self.goto, self.link, self.ends = goto, link, ends
-
     def _tables(self, live: list[str]) -> None:
-        """The automaton over bytes, and all merges, as arrays: what many words at once need."""
+        """The automaton of all tokens over bytes, and all merges, as arrays."""
         goto: list[dict[int, int]] = [{}]
         own, depth = [-1], [0]
         for piece in live:
@@ -316,25 +286,21 @@ class PieceModel:
         """Of a text whose every character is a piece."""
         if (whole := self.ids.get(text)) is not None and (whole in self.halves or len(text) == 1):
             return [whole]
-        last: list[tuple[int, int]] = [(0, -1)]  # of each prefix: length and id of the last token
-        goto, link, ends, fits, compatible = self.goto, self.link, self.ends, self.fits, self.compatible
+        last: list[tuple[int, int]] = [(0, -1)]  # of each prefix, in bytes: length and id of the last token
         state = at = 0
-        for c in text:
+        for byte in text.replace(SPACE, " ").encode():
             at += 1
-            while c not in goto[state] and state:
-                state = link[state]
-            state = goto[state].get(c, 0)
-            for end in ends[state]:
-                before = at - end[0]
-                if not before:
-                    break
-                left = last[before][1]
-                fit = fits.get((left, end[1]))
-                if compatible(left, end[1]) if fit is None else fit:
+            while (to := int(self.b_goto[self.b_row[state], byte])) < 0:
+                state = int(self.b_link[state])
+            state = to
+            found = (0, -1)
+            for k in range(self.b_first[state], self.b_first[state + 1]):  # tokens that end here, the longest first
+                length, token = int(self.b_length[k]), int(self.b_id[k])
+                left = last[at - length][1]
+                if at == length or (left >= 0 and self.compatible(left, token)):
+                    found = (length, token)
                     break
-            else:
-                raise AssertionError(f"no token ends at {at}")
-            last.append(end)
+            last.append(found)
         ids = []
         while at:
             length, token = last[at]
