@@ -27,6 +27,7 @@ from marlstone.llm.common import chunks, fresh, hashes, mix, normal_words, with_
 COORDINATES = 128
 THRESHOLD = 0.6
 SHINGLE = 2
+ROUNDS = 8  # of branching across the cluster; nodes still large after them are compared as they are
 _EDGES = "a bigint, b bigint"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -256,18 +257,18 @@ def groups(
     large = written(sizes.where(F.col("count") > local_rows).select("path"), "large-nodes")
     nodes = one.select(F.explode("s.paths").alias("path"), F.col("s.vals").alias("vals"))
     links = []
-    for _ in range(8):
+    rounds = ROUNDS
+    while True:
         # nodes too large for one task branch once more across the cluster; most often there is none
-        more = not large.isEmpty()
+        more = rounds > 0 and not large.isEmpty()
         here = nodes.join(large, "path", "left_anti") if more else nodes
         links.append(written(here.repartition(buckets, "path").mapInArrow(below, _EDGES), "links"))
-        if not more:
+        if not more:  # all nodes were compared, in the last round the large ones too
             break
         nodes = written(nodes.join(large, "path", "left_semi").mapInArrow(branch, "path bigint, vals binary"), "nodes")
         before, large = large, written(nodes.groupBy("path").count().where(F.col("count") > local_rows).select("path"), "large-nodes")
-        if large.count() >= before.count() * 2:  # branching doesn't make them smaller: near copies of each other
-            links.append(written(nodes.repartition(buckets, "path").mapInArrow(below, _EDGES), "links"))
-            break
+        # branching doesn't make them smaller: near copies of each other
+        rounds = 0 if large.count() >= before.count() * 2 else rounds - 1
     edges = links[0]
     for found in links[1:]:
         edges = edges.unionByName(found)

@@ -74,6 +74,15 @@ def test_large_nodes_branch_across_the_cluster(spark):
         assert sum(found.get(d) == g for d, g in want.items()) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_nodes_still_large_after_the_last_round_are_compared(spark, monkeypatch, rounds):
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds, raising=False)
+    base = [f"b{k}" for k in range(80)]
+    docs = spark.createDataFrame([(k, " ".join([*base, f"own{k}", f"more{k}"])) for k in range(60)], "doc_id long, text string")
+    found = {r.doc_id: r.group_id for r in near_dedup.near_duplicates(docs, local_rows=1, small=8).collect()}
+    assert found == dict.fromkeys(range(60), 0)
+
+
 def test_similarity_is_estimated_right():
     rng = random.Random(3)
     for share in (0.3, 0.6, 0.9):
