@@ -3,8 +3,10 @@
 Words, then trigrams, are counted in Spark over the whole corpus; counts of lower
 orders are numbers of distinct words to the left (Chen and Goodman, 1999). Keys and
 counts move as compressed blocks of sorted arrays, one for each bucket of a hash, so
-that a shuffle has few rows. The model is a set of sorted arrays in the shared folder,
-by bucket; workers map them into memory and look n-grams up by binary search.
+that a shuffle has few rows. Words have 32-bit numbers; a trigram's key is the place of
+its first two words among the contexts of its block, and its third word. The model is
+a set of sorted arrays in the shared folder, words and n-grams by bucket; workers map
+them into memory and look n-grams up by binary search.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import chunks, hashes, local_path, mix, normal_words, per_text, shared_folder, written
 
-BITS = 21
+BITS = 32  # of a word's number
 UNK, START, END, FIRST = 0, 1, 2, 3
-VOCABULARY = (1 << BITS) - FIRST - 1  # words that have numbers of their own: the most frequent
+RANGE = 15  # bits of the numbers whose figures are in one file
 CUTOFFS = (1, 2, 2)  # least (continuation) count of the words, pairs and trigrams that the model stores
 _BLOCK = "bucket int, keys binary, counts binary"
+_TRIGRAMS = "bucket int, contexts binary, sizes binary, words binary, counts binary"
 _HELD = 4_000_000  # keys that a task holds before it adds them up
 _WORD = np.uint64((1 << BITS) - 1)
 _SHIFT = np.uint64(BITS)
@@ -95,6 +98,59 @@ def _blocks(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["bucket", "keys", "counts"])
 
 
+def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct contexts, and trigrams as a place among them and a word."""
+    contexts, place = np.unique(context, return_inverse=True)
+    return contexts, (place.astype(np.uint64) << _SHIFT) | word
+
+
+class _Trigrams:
+    """Counts by context and word, added up now and then."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((contexts, keys, counts))
+        self.held += len(keys)
+        if self.held > _HELD and len(self.parts) > 1:
+            self.parts = [self.total()]
+            self.held = len(self.parts[0][1]) // 2
+
+    def total(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct contexts, keys of places among them and words, and their counts."""
+        if not self.parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        contexts = np.unique(np.concatenate([c for c, _, _ in self.parts]))
+        keys = [(np.searchsorted(contexts, c).astype(np.uint64)[(k >> _SHIFT).astype(np.int64)] << _SHIFT) | (k & _WORD) for c, k, _ in self.parts]
+        return contexts, *_added(np.concatenate(keys), np.concatenate([n for _, _, n in self.parts]))
+
+
+def _trigram_blocks(contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket, its contexts in order and the words after each in order."""
+    sizes = np.bincount((keys >> _SHIFT).astype(np.int64), minlength=len(contexts))
+    bucket = _bucket(contexts, buckets)
+    by, parts = _by_bucket(bucket)
+    order = np.argsort(bucket[(keys >> _SHIFT).astype(np.int64)], kind="stable")
+    words, counts = keys[order].astype(np.uint32), counts[order].astype(np.uint32)
+    contexts, sizes = contexts[by], sizes[by].astype(np.uint32)
+    begin = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    for b, i, j in parts:
+        k, m = begin[i], begin[j]
+        row = [b, _sorted_pack(contexts[i:j]), _pack(sizes[i:j]), _pack(words[k:m]), _pack(counts[k:m])]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if n else pa.int32()) for n, x in enumerate(row)], ["bucket", "contexts", "sizes", "words", "counts"])
+
+
+def _merged_trigrams(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sums = _Trigrams()
+    for c, s, w, n in zip(*(rows[k].to_pylist() for k in ("contexts", "sizes", "words", "counts")), strict=True):
+        contexts, sizes = _sorted_unpack(c), _unpack(s, np.uint32)
+        place = np.repeat(np.arange(len(contexts), dtype=np.uint64), sizes)
+        sums.parts.append((contexts, (place << _SHIFT) | _unpack(w, np.uint32), _unpack(n, np.uint32)))
+    return sums.total()
+
+
 def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     parts = list(zip(rows["keys"].to_pylist(), rows["counts"].to_pylist(), strict=True))
     return _added(np.concatenate([_sorted_unpack(k) for k, _ in parts]), np.concatenate([_unpack(c, np.uint32) for _, c in parts]))
@@ -108,6 +164,13 @@ def _save(folder: str, name: str, values: np.ndarray) -> None:
     os.replace(part, os.path.join(folder, f"{name}.npy"))
 
 
+def _save_coded(folder: str, name: str, values: np.ndarray) -> None:
+    """Distinct figures, or rows of figures, and for each key which it has, in as few bytes as tell them apart."""
+    table, code = np.unique(values, axis=0, return_inverse=True)
+    _save(folder, f"{name}-n", table)
+    _save(folder, f"{name}-c", code.ravel().astype(np.min_scalar_type(len(table))))
+
+
 _maps: dict[str, np.ndarray] = {}
 
 
@@ -155,23 +218,31 @@ def _rest(stats: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Where the arrays are, in how many buckets, and the discounts of each order."""
+    """Where the arrays are, in how many buckets of words and of n-grams, how many numbered words,
+    each word's even share, the sum of their figures, and the discounts of each order."""
 
     folder: str
+    shelves: int
     buckets: int
     words: int
+    even: float
+    total: int
     d1: tuple[float, float, float]
     d2: tuple[float, float, float]
     d3: tuple[float, float, float]
 
 
-def _numbered(folder: str, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _numbered(folder: str, shelves: int, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers with two starts and an end around each text that has words, and where texts begin."""
     index, words, offsets = normal_words(text)
-    keys, ids = _load(folder, "vocabulary"), _load(folder, "numbers")
     h = hashes(words)
-    at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-    number = np.where(keys[at] == h, ids[at], UNK).astype(np.uint64) if len(keys) else np.zeros(len(h), np.uint64)
+    number = np.full(len(h), UNK, np.uint64)
+    order, parts = _by_bucket(_bucket(h, shelves))
+    for b, i, j in parts:
+        keys, which = _load(folder, f"vocabulary-{b}"), order[i:j]
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, h[which]), len(keys) - 1)
+            number[which] = np.where(keys[at] == h[which], _load(folder, f"numbers-{b}")[at], UNK)
     n = np.diff(offsets)
     size = np.where(n > 0, n + 3, 0)
     ends = np.concatenate([[0], np.cumsum(size)])
@@ -181,27 +252,36 @@ def _numbered(folder: str, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def _trigrams(sequence: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all trigrams within texts, and each text's first."""
-    key = (sequence[:-2] << np.uint64(2 * BITS)) | (sequence[1:-1] << _SHIFT) | sequence[2:] if len(sequence) > 2 else np.zeros(0, np.uint64)
-    inside = np.ones(len(key), bool)
+def _trigrams(sequence: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and third words of all trigrams within texts, and each text's first."""
+    few = len(sequence) < 3
+    context = np.zeros(0, np.uint64) if few else (sequence[:-2] << _SHIFT) | sequence[1:-1]
+    inside = np.ones(len(context), bool)
     cut = ends[1:-1]
     for back in (1, 2):  # those that reach into the next text
         at = cut[(cut > 0) & (cut < len(sequence))] - back
-        inside[at[at < len(key)]] = False
+        inside[at[at < len(context)]] = False
     size = np.maximum(np.diff(ends) - 2, 0)
-    return key[inside], np.concatenate([[0], np.cumsum(size)])
+    return context[inside], sequence[2:][inside] if not few else context, np.concatenate([[0], np.cumsum(size)])
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(keys) % np.uint64(buckets)).astype(np.int64)
 
 
-def train(docs: DataFrame, vocabulary: int = VOCABULARY, cutoffs: tuple[int, int, int] = CUTOFFS) -> Model:
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket, and of each bucket its name and where it begins and ends in it."""
+    order = np.argsort(bucket, kind="stable")
+    names, first = np.unique(bucket[order], return_index=True)
+    return order, list(zip(names.tolist(), first.tolist(), [*first.tolist(), len(order)][1:], strict=True))
+
+
+def train(docs: DataFrame, vocabulary: int | None = None, cutoffs: tuple[int, int, int] = CUTOFFS) -> Model:
     """Counts the words and trigrams of all texts and writes the model's arrays.
 
-    vocabulary bounds the words that have numbers of their own, at most 2**21 - 4;
-    others are one unknown word. cutoffs are for what is stored; discounts and
+    All words have numbers of their own, unless vocabulary bounds them: then those
+    of the greatest counts have, as far as all words of a count fit, and others are one
+    unknown word. cutoffs are for what is stored; discounts and
     the weights of lower orders come from all counts.
     """
     spark = docs.sparkSession
@@ -228,73 +308,72 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, cutoffs: tuple[int, int
 
     wide = "bucket int, keys binary, counts binary, total bigint, values array<bigint>, n array<bigint>"
     words = written(source.mapInArrow(count_words, _BLOCK).groupBy("bucket").applyInArrow(add_words, wide), "words")
+    tokens, distinct = words.agg(F.sum("total"), F.sum(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()
+    tokens, distinct = tokens or 0, distinct or 0
+    least = 0 if vocabulary is None or distinct <= vocabulary else 1 << 62
     spread = words.select(F.explode(F.arrays_zip("values", "n")).alias("x")).groupBy("x.values").agg(F.sum("x.n").alias("n")).orderBy(F.desc("values"))
-    least, number = 1 << 62, 0
-    for row in spread.toLocalIterator():  # a row for each count that occurs
-        if number + row.n > min(vocabulary, VOCABULARY):
+    number = 0
+    for row in spread.toLocalIterator() if least else ():  # a row for each count that occurs
+        if number + row.n > vocabulary:
             break
         least, number = row["values"], number + row.n
-    tokens = words.agg(F.sum("total")).first()[0] or 0
     # so many that a bucket's trigrams fit a task at any size of the corpus
     buckets3 = max(buckets, tokens // 2_000_000)
 
-    def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                k, c = _sorted_unpack(k), _unpack(c, np.uint64)
-                keys.append(k[c >= least])
-                counts.append(c[c >= least])
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
+    def number_words(rows: pa.Table) -> pa.Table:
+        # frequent words have low numbers: the k-th of bucket b has number FIRST + k * buckets + b
+        b = rows["bucket"][0].as_py()
+        keys, counts = _sorted_unpack(rows["keys"][0].as_py()), _unpack(rows["counts"][0].as_py(), np.uint64)
+        keys, counts = keys[counts >= least], counts[counts >= least]
+        if len(keys) * buckets + FIRST + buckets >= 1 << BITS:
+            raise ValueError(f"more words than numbers of {BITS} bits")
         ids = np.empty(len(keys), np.uint32)
-        ids[np.lexsort((keys, -counts.astype(np.int64)))] = np.arange(FIRST, FIRST + len(keys))
-        order = np.argsort(keys)
-        _save(folder, "vocabulary", keys[order])
-        _save(folder, "numbers", ids[order])
-        yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], ["n"])
+        ids[np.lexsort((keys, -counts.astype(np.int64)))] = FIRST + b + buckets * np.arange(len(keys))
+        _save(folder, f"vocabulary-{b}", keys)
+        _save(folder, f"numbers-{b}", ids)
+        return pa.table({"n": pa.array([len(keys)], pa.int64())})
 
-    size = words.select("keys", "counts").repartition(1).mapInArrow(number_words, "n bigint").collect()[0].n
+    size = words.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(number_words, "n bigint").agg(F.sum("n")).first()[0] or 0
 
     def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
+        sums = _Trigrams()
         for batch in chunks(batches):
-            key, _ = _trigrams(*_numbered(folder, batch.column("text")))
-            sums.add(*np.unique(key, return_counts=True))
-        keys, counts = sums.total()
-        yield from _blocks(keys, counts, _bucket(keys >> _SHIFT, buckets3))
+            context, word, _ = _trigrams(*_numbered(folder, buckets, batch.column("text")))
+            contexts, keys = _distinct(context, word)
+            sums.add(contexts, *np.unique(keys, return_counts=True))
+        yield from _trigram_blocks(*sums.total(), buckets3)
 
     def add_trigrams(rows: pa.Table) -> pa.Table:
-        keys, counts = _merged(rows)
+        contexts, keys, counts = _merged_trigrams(rows)
         b = rows["bucket"][0].as_py()
-        kept = counts >= cutoffs[2]
-        _save(folder, f"tri-{b}", keys[kept])
-        _save(folder, f"tri-{b}-n", counts[kept].astype(np.uint32))
-        context, group = np.unique(keys >> _SHIFT, return_inverse=True)
-        stats = _kinds(counts, group, len(context), cutoffs[2])
-        some = stats[:, 1] > 0
-        _save(folder, f"ctx-{b}", context[some])
-        _save(folder, f"ctx-{b}-n", stats[some].astype(np.float32))
-        pairs, left = np.unique(keys & np.uint64((1 << 2 * BITS) - 1), return_counts=True)
+        group = (keys >> _SHIFT).astype(np.int64)
+        stats = _kinds(counts, group, len(contexts), cutoffs[2])
+        some, kept = stats[:, 1] > 0, counts >= cutoffs[2]
+        place = (np.cumsum(some) - 1).astype(np.uint64)[group[kept]]
+        _save(folder, f"tri-{b}", (place << _SHIFT) | (keys[kept] & _WORD))
+        _save_coded(folder, f"tri-{b}", counts[kept].astype(np.uint32))
+        _save(folder, f"ctx-{b}", contexts[some])
+        _save_coded(folder, f"ctx-{b}", stats[some].astype(np.uint32))
+        pairs, left = np.unique((contexts[group] << _SHIFT) | (keys & _WORD), return_counts=True)
         blocks = pa.Table.from_batches(list(_blocks(pairs, left, _bucket(pairs, buckets3))))
         ones = pa.array([json.dumps(_of_counts(counts))] + [None] * (len(blocks) - 1), pa.string())
         return blocks.append_column("ones", ones)
 
-    pairs = written(source.mapInArrow(count_trigrams, _BLOCK).groupBy("bucket").applyInArrow(add_trigrams, f"{_BLOCK}, ones string"), "pairs")
+    pairs = written(source.mapInArrow(count_trigrams, _TRIGRAMS).groupBy("bucket").applyInArrow(add_trigrams, f"{_BLOCK}, ones string"), "pairs")
     n3 = _total(pairs)
-    ranges = 1 << max(0, BITS - 15)
 
     def add_pairs(rows: pa.Table) -> pa.Table:
         keys, counts = _merged(rows)
         b = rows["bucket"][0].as_py()
         kept = counts >= cutoffs[1]
         _save(folder, f"bi-{b}", keys[kept])
-        _save(folder, f"bi-{b}-n", counts[kept].astype(np.uint32))
+        _save_coded(folder, f"bi-{b}", counts[kept].astype(np.uint32))
         context, group = np.unique(keys >> _SHIFT, return_inverse=True)
         stats = _kinds(counts, group, len(context), cutoffs[1])
         word, types = np.unique(keys & _WORD, return_counts=True)
         out = []
-        for r in np.unique(np.concatenate([context, word]) >> np.uint64(15)):
-            c, w = context >> np.uint64(15) == r, word >> np.uint64(15) == r
+        for r in np.unique(np.concatenate([context, word]) >> np.uint64(RANGE)):
+            c, w = context >> np.uint64(RANGE) == r, word >> np.uint64(RANGE) == r
             out.append((int(r), _pack(context[c]), _pack(stats[c].astype(np.float64).ravel()), _pack(word[w]), _pack(types[w].astype(np.uint64)), None))
         out[:1] = [(*out[0][:-1], json.dumps(_of_counts(counts)))] if out else []
         names = ["bucket", "context", "stats", "word", "types", "ones"]
@@ -306,45 +385,33 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, cutoffs: tuple[int, int
 
     def add_words_after(rows: pa.Table) -> pa.Table:
         r = rows["bucket"][0].as_py()
-        low, width = r << 15, 1 << 15
+        low, width = r << RANGE, 1 << RANGE
         stats, types = np.zeros((width, 5)), np.zeros(width, np.int64)
         for c, s, w, t in zip(*(rows[k].to_pylist() for k in ("context", "stats", "word", "types")), strict=True):
             np.add.at(stats, _unpack(c, np.uint64).astype(np.int64) - low, _unpack(s, np.float64).reshape(-1, 5))
             np.add.at(types, _unpack(w, np.uint64).astype(np.int64) - low, _unpack(t, np.uint64).astype(np.int64))
         _save(folder, f"after-{r}", stats.astype(np.float32))
         _save(folder, f"types-{r}", types)
-        return pa.table({"ones": [json.dumps(_of_counts(types))], "total": [int(types.sum())]})
+        return pa.table({"ones": [json.dumps(_of_counts(types))], "total": [int(types.sum())], "more": [int((types >= 3).sum())]})
 
-    last = written(singles.drop("ones").groupBy("bucket").applyInArrow(add_words_after, "ones string, total bigint"), "types")
+    last = written(singles.drop("ones").groupBy("bucket").applyInArrow(add_words_after, "ones string, total bigint, more bigint"), "types")
     n1 = _total(last)
-    total = last.agg(F.sum("total")).first()[0] or 0
+    total, more = (x or 0 for x in last.agg(F.sum("total"), F.sum("more")).first())
     d1, d2, d3 = discounts(n1), discounts(n2), discounts(n3)
+    # what is taken from all words goes evenly to all but the start
+    taken = (n1[0] * d1[0] + n1[1] * d1[1] + more * d1[2]) / total if total else 1.0
+    return Model(folder, buckets, int(buckets3), size + FIRST, taken / (size + FIRST - 1), int(total), d1, d2, d3)
 
-    def join_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            pass
-        after, types = [], []
-        for r in range(ranges):
-            a, t = _load(folder, f"after-{r}"), _load(folder, f"types-{r}")
-            after.append(_rest(a.astype(np.float64), d2) if len(a) else np.ones(1 << 15))
-            types.append(t if len(t) else np.zeros(1 << 15, np.int64))
-        after, types = np.concatenate(after), np.concatenate(types)
-        n = size + FIRST
-        share = (types - _less(types, d1)) / max(total, 1)
-        p = share + (1 - share.sum() if total else 1.0) / (n - 1)  # evenly over all words but the start
-        _save(folder, "rest", after[:n])
-        _save(folder, "total", np.concatenate(after_total(folder, ranges))[:n])
-        _save(folder, "p", p[:n])
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    spark.range(1).repartition(1).mapInArrow(join_words, "n bigint").collect()
-    return Model(folder, int(buckets3), size + FIRST, d1, d2, d3)
-
-
-def after_total(folder: str, ranges: int) -> list[np.ndarray]:
-    """How many pairs of words begin with each word, counting each by its distinct left neighbours."""
-    parts = [_load(folder, f"after-{r}") for r in range(ranges)]
-    return [np.asarray(a[:, 0], np.float64) if len(a) else np.zeros(1 << 15) for a in parts]
+
+def _of_words(folder: str, name: str, numbers: np.ndarray) -> np.ndarray:
+    """Figures of words by number; words that have none have zeros."""
+    distinct, back = np.unique(numbers, return_inverse=True)
+    parts = []
+    order, ranges = _by_bucket(distinct >> np.uint64(RANGE))
+    for r, i, j in ranges:
+        have = _load(folder, f"{name}-{r}")
+        parts.append(np.asarray(have[(distinct[i:j] - np.uint64(r << RANGE)).astype(np.int64)] if len(have) else np.zeros((j - i, 5) if name == "after" else j - i), np.float64))
+    return np.concatenate(parts)[back] if parts else np.zeros((0, 5) if name == "after" else 0)
 
 
 def _total(rows: DataFrame) -> list[int]:
@@ -352,42 +419,40 @@ def _total(rows: DataFrame) -> list[int]:
     return np.array(found or [[0] * 4]).sum(axis=0).tolist()
 
 
-def _look(folder: str, kind: str, keys: np.ndarray, bucket: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of distinct sorted keys those stored, by bucket: their places among the keys and their figures."""
-    order = np.argsort(bucket, kind="stable")
-    names, first = np.unique(bucket[order], return_index=True)
-    found = []
-    for b, i, j in zip(names, first, [*first[1:], len(order)], strict=True):
+def _look(folder: str, kind: str, keys: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of keys those stored, by bucket: the bucket, their places among the keys and in the bucket, and their figures."""
+    order, parts = _by_bucket(bucket)
+    for b, i, j in parts:
         have = _load(folder, f"{kind}-{b}")
         if not len(have):
             continue
         which = order[i:j]
         at = np.minimum(np.searchsorted(have, keys[which]), len(have) - 1)
         hit = have[at] == keys[which]
-        found.append((which[hit], np.asarray(_load(folder, f"{kind}-{b}-n")[at[hit]], np.float64)))
-    return found
+        yield b, which[hit], at[hit], np.asarray(_load(folder, f"{kind}-{b}-n")[_load(folder, f"{kind}-{b}-c")[at[hit]]], np.float64)
 
 
-def probabilities(model: Model, key: np.ndarray) -> np.ndarray:
-    """Of distinct sorted trigram keys, each third word's probability after the two before it."""
+def probabilities(model: Model, contexts: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Each trigram's third word's probability after its context; contexts and keys are those of _distinct, sorted."""
     folder = model.folder
-    context = key >> _SHIFT
-    pair = key & np.uint64((1 << 2 * BITS) - 1)
-    v, w = (pair >> _SHIFT).astype(np.int64), (key & _WORD).astype(np.int64)
-    distinct, back = np.unique(pair, return_inverse=True)
-    share2 = np.zeros(len(distinct))
-    of_v = _load(folder, "total")[(distinct >> _SHIFT).astype(np.int64)]
-    for which, n in _look(folder, "bi", distinct, _bucket(distinct, model.buckets)):
-        share2[which] = (n - _less(n, model.d2)) / of_v[which]
-    p2 = share2[back] + _load(folder, "rest")[v] * _load(folder, "p")[w]
-    contexts, of = np.unique(context, return_inverse=True)
+    of, w = (key >> _SHIFT).astype(np.int64), key & _WORD
+    v = contexts[of] & _WORD
+    distinct, back = np.unique((v << _SHIFT) | w, return_inverse=True)
+    v, w = distinct >> _SHIFT, distinct & _WORD
+    after, types = _of_words(folder, "after", v), _of_words(folder, "types", w)
+    p2 = _rest(after, model.d2) * ((types - _less(types, model.d1)) / max(model.total, 1) + model.even)
+    for _, which, _, n in _look(folder, "bi", distinct, _bucket(distinct, model.buckets)):
+        p2[which] += (n - _less(n, model.d2)) / after[which, 0]
     rest, total = np.ones(len(contexts)), np.ones(len(contexts))
-    for which, stats in _look(folder, "ctx", contexts, _bucket(contexts, model.buckets)):
-        rest[which], total[which] = _rest(stats, model.d3), stats[:, 0]
+    bucket, place = _bucket(contexts, model.buckets), np.full(len(contexts), -1, np.int64)
+    for _, which, at, stats in _look(folder, "ctx", contexts, bucket):
+        rest[which], total[which], place[which] = _rest(stats, model.d3), stats[:, 0], at
     share3 = np.zeros(len(key))
-    for which, n in _look(folder, "tri", key, _bucket(context, model.buckets)):
-        share3[which] = (n - _less(n, model.d3)) / total[of[which]]
-    return share3 + rest[of] * p2
+    known = np.flatnonzero(place[of] >= 0)
+    stored = (place[of[known]].astype(np.uint64) << _SHIFT) | (key[known] & _WORD)
+    for _, which, _, n in _look(folder, "tri", stored, bucket[of[known]]):
+        share3[known[which]] = (n - _less(n, model.d3)) / total[of[known[which]]]
+    return share3 + rest[of] * p2[back]
 
 
 def perplexity(docs: DataFrame, model: Model) -> DataFrame:
@@ -404,9 +469,10 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in chunks(batches):
-            key, offsets = _trigrams(*_numbered(model.folder, pc.fill_null(batch.column("text"), "")))
+            context, word, offsets = _trigrams(*_numbered(model.folder, model.shelves, pc.fill_null(batch.column("text"), "")))
+            contexts, key = _distinct(context, word)
             distinct, back = np.unique(key, return_inverse=True)
-            logs = np.log(probabilities(model, distinct))[back] if len(key) else np.zeros(0)
+            logs = np.log(probabilities(model, contexts, distinct))[back] if len(key) else np.zeros(0)
             n = np.diff(offsets)
             sums = per_text(logs, offsets)
             none = n == 0

@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.llm import ngram_lm
@@ -100,6 +101,33 @@ def test_words_out_of_the_vocabulary_and_of_other_texts(spark):
     assert all(math.isfinite(r.perplexity) for r in found)
 
 
+def test_numbers_of_more_than_21_bits(spark, monkeypatch):
+    assert ngram_lm.BITS >= 32
+    monkeypatch.setattr(ngram_lm, "FIRST", (1 << 31) + 5)  # as if so many words came before
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
+    model = ngram_lm.train(docs, cutoffs=(1, 1, 1))
+    brute = Brute(TEXTS, (1, 1, 1))
+    # the even share of the lowest order is over the numbers there are, so only what doesn't rest on it is compared
+    context, word, _ = ngram_lm._trigrams(*ngram_lm._numbered(model.folder, model.shelves, pa.array(["the cat sat", "ran ran"])))
+    assert len(np.unique(word)) == 5
+    contexts, key = ngram_lm._distinct(context, word)
+    got = dict(zip(zip(contexts[(key >> np.uint64(32)).astype(int)].tolist(), (key & np.uint64(0xFFFFFFFF)).tolist(), strict=True), ngram_lm.probabilities(model, contexts, key), strict=True))
+    grams = [g for w in (["the", "cat", "sat"], ["ran", "ran"]) for s in [["<s>", "<s>", *w, "</s>"]] for g in zip(s, s[1:], s[2:], strict=False)]
+    for c, w, gram in zip(context.tolist(), word.tolist(), grams, strict=True):
+        assert got[c, w] == pytest.approx(brute.p(*gram), abs=0.02)
+
+
+def test_all_words_have_numbers_of_their_own(spark):
+    texts = [*TEXTS, "alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = ngram_lm.train(docs)
+    distinct = {w for t in texts for w in words(t)}
+    assert model.words == len(distinct) + ngram_lm.FIRST
+    number, _ = ngram_lm._numbered(model.folder, model.shelves, pa.array([" ".join(distinct)]))
+    assert len(set(number.tolist())) == len(distinct) + 2
+    assert ngram_lm.UNK not in number
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_lm.perplexity(docs, ngram_lm.train(docs)).collect() == []
