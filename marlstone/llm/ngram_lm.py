@@ -28,7 +28,7 @@ from marlstone.llm.common import chunks, hashes, local_path, mix, normal_words,
 BITS = 32  # of a word's number
 UNK, START, END, FIRST = 0, 1, 2, 3
 RANGE = 15  # bits of the numbers whose figures are in one file
-CUTOFFS = (1, 2, 2)  # least (continuation) count of the words, pairs and trigrams that the model stores
+CUTOFFS = (1, 1, 1)  # least (continuation) count of the words, pairs and trigrams that the model stores: all of them
 _BLOCK = "bucket int, keys binary, counts binary"
 _TRIGRAMS = "bucket int, contexts binary, sizes binary, words binary, counts binary"
 _HELD = 4_000_000  # keys that a task holds before it adds them up

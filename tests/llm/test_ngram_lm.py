@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from marlstone.llm import ngram_lm
+from marlstone.llm import ngram_lm, queries
 from marlstone.llm.common import normal
 
 TEXTS = [
@@ -101,6 +101,17 @@ def test_words_out_of_the_vocabulary_and_of_other_texts(spark):
     assert all(math.isfinite(r.perplexity) for r in found)
 
 
+def test_query_scores_by_the_whole_model(spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.log_prob for r in queries.op6_lm_scoring(spark, str(tmp_path)).collect()}
+    brute = Brute(TEXTS, (1, 1, 1))
+    for k, text in rows:
+        if w := words(text):
+            s = ["<s>", "<s>", *w, "</s>"]
+            assert found[k] == pytest.approx(sum(math.log(brute.p(*g)) for g in zip(s, s[1:], s[2:], strict=False)), abs=1e-3)
+
+
 def test_numbers_of_more_than_21_bits(spark, monkeypatch):
     assert ngram_lm.BITS >= 32
     monkeypatch.setattr(ngram_lm, "FIRST", (1 << 31) + 5)  # as if so many words came before
