@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 6 << 20  # text that a Python worker holds as words at one time
 _NOT_ALNUM = re.compile(r"[\W_]+")
+_NOT_LETTER = r"[^\p{L}\p{N}]+"
 _scratch: list[str] = []
 
 
@@ -111,10 +112,19 @@ def normal(word: str) -> str:
     return word if word.isalnum() else _NOT_ALNUM.sub("", word)
 
 
+def normal_array(words: pa.Array) -> pa.Array:
+    """normal() of each word of an array."""
+    low = pc.utf8_lower(words)
+    plain = pc.utf8_is_alnum(low)
+    if pc.all(plain, min_count=0).as_py():
+        return low
+    return pc.replace_with_mask(low, pc.invert(plain), pc.replace_substring_regex(low.filter(pc.invert(plain)), _NOT_LETTER, ""))
+
+
 def normal_words(col: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """As split_words, over normal forms; words of which nothing is left are dropped."""
     index, raw, offsets = split_words(col)
-    coded = pa.array([normal(w) for w in raw.to_pylist()], pa.string()).dictionary_encode()
+    coded = normal_array(raw).dictionary_encode()
     names = coded.dictionary.to_pylist()
     index = coded.indices.to_numpy(zero_copy_only=False)[index] if len(index) else index
     if "" in names:
@@ -124,6 +134,12 @@ def normal_words(col: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return index, names, offsets
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values: a sort, which for numbers is faster than a table of hashes."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def hashes(strings: list[str]) -> np.ndarray:
     """64-bit hashes."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings))
