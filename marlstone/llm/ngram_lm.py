@@ -3,16 +3,19 @@
 Words, then trigrams, are counted in Spark over the whole corpus; counts of lower
 orders are numbers of distinct words to the left (Chen and Goodman, 1999). Keys and
 counts move as compressed blocks of sorted arrays, one for each bucket of a hash, so
-that a shuffle has few rows. Words have 32-bit numbers; a trigram's key is the place of
-its first two words among the contexts of its block, and its third word. The model is
-a set of sorted arrays in the shared folder, words and n-grams by bucket; workers map
-them into memory and look n-grams up by binary search.
+that a shuffle has few rows. Words are told apart by a 64-bit hash and have 32-bit
+numbers; a trigram is its first two words, by whose hash it is in a bucket, and the
+place of its third word among those that follow them. The model is a file of sorted
+arrays for each bucket in the shared folder; workers map the files into memory and look
+n-grams up by binary search. Every n-gram that occurs is counted and stored.
 """
 
 from __future__ import annotations
 
 import json
+import mmap
 import os
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,29 +26,34 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, hashes, local_path, mix, normal_words, per_text, shared_folder, written
+from marlstone.llm.common import chunks, distinct, hashes, local_path, mix, normal_words, shared_folder, written
 
 BITS = 32  # of a word's number
 UNK, START, END, FIRST = 0, 1, 2, 3
 RANGE = 15  # bits of the numbers whose figures are in one file
-CUTOFFS = (1, 1, 1)  # least (continuation) count of the words, pairs and trigrams that the model stores: all of them
-_BLOCK = "bucket int, keys binary, counts binary"
+BUCKET_TOKENS = 2_000_000  # of the corpus for each bucket of n-grams: a task adds up one at a time
+_BLOCK = "bucket int, keys binary, counts binary, of3 string"
 _TRIGRAMS = "bucket int, contexts binary, sizes binary, words binary, counts binary"
 _HELD = 4_000_000  # keys that a task holds before it adds them up
+_MAPS = 16_000  # files that a worker keeps mapped
 _WORD = np.uint64((1 << BITS) - 1)
 _SHIFT = np.uint64(BITS)
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Numbers as compressed planes of bytes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()) if len(values) else b""
+    """Whole numbers, in as many bytes as the greatest needs, as compressed planes of bytes."""
+    if not len(values):
+        return b""
+    values = np.ascontiguousarray(values.astype(np.min_scalar_type(int(values.max()))))
+    planes = values.view(np.uint8).reshape(len(values), -1).T
+    return bytes([values.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _unpack(data: bytes, kind: type) -> np.ndarray:
+def _unpack(data: bytes) -> np.ndarray:
     if not data:
-        return np.zeros(0, kind)
-    plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(plain.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+        return np.zeros(0, np.uint64)
+    plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
+    return np.ascontiguousarray(plain.reshape(data[0], -1).T).view(f"u{data[0]}").ravel().astype(np.uint64)
 
 
 def _sorted_pack(keys: np.ndarray) -> bytes:
@@ -53,16 +61,21 @@ def _sorted_pack(keys: np.ndarray) -> bytes:
 
 
 def _sorted_unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
+    return np.cumsum(_unpack(data), dtype=np.uint64)
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and their counts."""
     if not len(keys):
         return keys, counts.astype(np.uint64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    first = _firsts(keys)
     return keys[first], np.add.reduceat(counts[order].astype(np.uint64), first)
 
 
@@ -86,22 +99,43 @@ class _Sums:
         return _added(np.concatenate([k for k, _ in self.parts]), np.concatenate([c.astype(np.uint64) for _, c in self.parts]))
 
 
-def _blocks(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket, its keys in order."""
-    order = np.argsort(bucket, kind="stable")
-    keys, counts, bucket = keys[order], counts[order].astype(np.uint32), bucket[order]
-    names, first = np.unique(bucket, return_index=True)
-    ends = [*first[1:], len(bucket)]
-    for at in range(0, len(names), 64):
-        part = [(int(b), _sorted_pack(keys[i:j]), _pack(counts[i:j])) for b, i, j in zip(names[at : at + 64], first[at : at + 64], ends[at : at + 64], strict=True)]
-        b, k, c = zip(*part, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["bucket", "keys", "counts"])
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys) % np.uint64(buckets)).astype(np.int64)
 
 
-def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct contexts, and trigrams as a place among them and a word."""
-    contexts, place = np.unique(context, return_inverse=True)
-    return contexts, (place.astype(np.uint64) << _SHIFT) | word
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket that keeps the order within, and of each bucket its name and where it begins and ends in it."""
+    narrow = bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket  # 16 bits are sorted by radix
+    order = np.argsort(narrow, kind="stable")
+    ordered = bucket[order]
+    first = _firsts(ordered)
+    return order, list(zip(ordered[first].tolist(), first.tolist(), [*first.tolist(), len(order)][1:], strict=True))
+
+
+def _rows(names: str, rows: list[tuple]) -> pa.RecordBatch:
+    """A batch with columns of these names and SQL types, as in a schema."""
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    columns = [c.split() for c in names.split(", ")]
+    values = list(zip(*rows, strict=True)) if rows else [()] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[kind]) for v, (_, kind) in zip(values, columns, strict=True)], [name for name, _ in columns])
+
+
+def _blocks(keys: np.ndarray, counts: np.ndarray, buckets: int, of3: str | None = None) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket, its keys in order; the first row carries of3."""
+    order, parts = _by_bucket(_bucket(keys, buckets))
+    keys, counts = keys[order], counts[order]
+    for b, i, j in parts:
+        yield _rows(_BLOCK, [(b, _sorted_pack(keys[i:j]), _pack(counts[i:j]), of3)])
+        of3 = None
+
+
+def _grouped(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct contexts, trigrams as a place among them and a word, and the order in which they come."""
+    order = np.argsort(context)
+    context = context[order]
+    first = _firsts(context)
+    place = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, len(context))))
+    return context[first], (place << _SHIFT) | word[order], order
 
 
 class _Trigrams:
@@ -122,66 +156,114 @@ class _Trigrams:
         """Sorted distinct contexts, keys of places among them and words, and their counts."""
         if not self.parts:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        contexts = np.unique(np.concatenate([c for c, _, _ in self.parts]))
+        if len(self.parts) == 1:
+            return self.parts[0]
+        contexts = distinct(np.concatenate([c for c, _, _ in self.parts]))
         keys = [(np.searchsorted(contexts, c).astype(np.uint64)[(k >> _SHIFT).astype(np.int64)] << _SHIFT) | (k & _WORD) for c, k, _ in self.parts]
-        return contexts, *_added(np.concatenate(keys), np.concatenate([n for _, _, n in self.parts]))
+        return contexts, *_added(np.concatenate(keys), np.concatenate([n.astype(np.uint64) for _, _, n in self.parts]))
 
 
 def _trigram_blocks(contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """A row for each bucket, its contexts in order and the words after each in order."""
-    sizes = np.bincount((keys >> _SHIFT).astype(np.int64), minlength=len(contexts))
+    place = (keys >> _SHIFT).astype(np.int64)
+    sizes = np.bincount(place, minlength=len(contexts))
     bucket = _bucket(contexts, buckets)
     by, parts = _by_bucket(bucket)
-    order = np.argsort(bucket[(keys >> _SHIFT).astype(np.int64)], kind="stable")
-    words, counts = keys[order].astype(np.uint32), counts[order].astype(np.uint32)
-    contexts, sizes = contexts[by], sizes[by].astype(np.uint32)
+    order, _ = _by_bucket(bucket[place])
+    words, counts = (keys & _WORD)[order], counts[order]
+    contexts, sizes = contexts[by], sizes[by]
     begin = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     for b, i, j in parts:
         k, m = begin[i], begin[j]
-        row = [b, _sorted_pack(contexts[i:j]), _pack(sizes[i:j]), _pack(words[k:m]), _pack(counts[k:m])]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if n else pa.int32()) for n, x in enumerate(row)], ["bucket", "contexts", "sizes", "words", "counts"])
+        yield _rows(_TRIGRAMS, [(b, _sorted_pack(contexts[i:j]), _pack(sizes[i:j]), _pack(words[k:m]), _pack(counts[k:m]))])
 
 
 def _merged_trigrams(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = _Trigrams()
     for c, s, w, n in zip(*(rows[k].to_pylist() for k in ("contexts", "sizes", "words", "counts")), strict=True):
-        contexts, sizes = _sorted_unpack(c), _unpack(s, np.uint32)
-        place = np.repeat(np.arange(len(contexts), dtype=np.uint64), sizes)
-        sums.parts.append((contexts, (place << _SHIFT) | _unpack(w, np.uint32), _unpack(n, np.uint32)))
+        contexts = _sorted_unpack(c)
+        place = np.repeat(np.arange(len(contexts), dtype=np.uint64), _unpack(s).astype(np.int64))
+        sums.parts.append((contexts, (place << _SHIFT) | _unpack(w), _unpack(n)))
     return sums.total()
 
 
 def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     parts = list(zip(rows["keys"].to_pylist(), rows["counts"].to_pylist(), strict=True))
-    return _added(np.concatenate([_sorted_unpack(k) for k, _ in parts]), np.concatenate([_unpack(c, np.uint32) for _, c in parts]))
+    return _added(np.concatenate([_sorted_unpack(k) for k, _ in parts]), np.concatenate([_unpack(c) for _, c in parts]))
 
 
-def _save(folder: str, name: str, values: np.ndarray) -> None:
-    """A file that is there whole or not at all: a task can be run again."""
+def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """Arrays as one file, which is there whole or not at all: a task can be run again."""
     part = os.path.join(folder, f".{name}-{os.getpid()}-{os.urandom(4).hex()}")
+    at, head = 0, {}
+    for key, x in arrays.items():
+        head[key] = (x.dtype.str, list(x.shape), at)
+        at += -(-x.nbytes // 64) * 64
+    text = json.dumps(head).encode()
+    text += b" " * (-(len(text) + 8) % 64)
     with open(part, "wb") as file:
-        np.save(file, values)
-    os.replace(part, os.path.join(folder, f"{name}.npy"))
-
-
-def _save_coded(folder: str, name: str, values: np.ndarray) -> None:
-    """Distinct figures, or rows of figures, and for each key which it has, in as few bytes as tell them apart."""
-    table, code = np.unique(values, axis=0, return_inverse=True)
-    _save(folder, f"{name}-n", table)
-    _save(folder, f"{name}-c", code.ravel().astype(np.min_scalar_type(len(table))))
-
-
-_maps: dict[str, np.ndarray] = {}
+        file.write(len(text).to_bytes(8, "little") + text)
+        for x in arrays.values():
+            file.write(np.ascontiguousarray(x).tobytes() + bytes(-x.nbytes % 64))
+    os.replace(part, os.path.join(folder, name))
+
+
+_maps: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
+
+
+def _load(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a file mapped into memory, none if there is no such file; a worker keeps those it used last."""
+    path = os.path.join(folder, name)
+    if path in _maps:
+        _maps.move_to_end(path)
+        return _maps[path]
+    if len(_maps) >= _MAPS:
+        _maps.popitem(last=False)
+    found: dict[str, np.ndarray] = {}
+    if os.path.exists(path):
+        with open(path, "rb") as file:
+            data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        size = int.from_bytes(data[:8], "little")
+        for key, (kind, shape, at) in json.loads(data[8 : 8 + size]).items():
+            found[key] = np.frombuffer(data, kind, int(np.prod(shape)), 8 + size + at).reshape(shape)
+    _maps[path] = found
+    return found
+
+
+def _coded(name: str, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts of a byte each; 255 stands for the few that are as great or greater, which are kept with their places."""
+    large = np.flatnonzero(counts >= 255)
+    return {name: np.minimum(counts, 255).astype(np.uint8), f"{name}_at": large, f"{name}_large": counts[large].astype(np.uint64)}
+
+
+def _counts(have: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    """The counts that _coded made, at these places."""
+    out = have[name][at].astype(np.float64)
+    if len(large := np.flatnonzero(out == 255)):
+        out[large] = have[f"{name}_large"][np.searchsorted(have[f"{name}_at"], at[large])]
+    return out
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of those wanted are among the sorted keys, and where."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = np.flatnonzero(keys[at] == wanted)
+    return hit, at[hit]
 
 
-def _load(folder: str, name: str) -> np.ndarray:
-    """A file mapped into memory; a worker maps it once."""
-    path = os.path.join(folder, f"{name}.npy")
-    if path not in _maps:
-        if len(_maps) > 20_000:
-            _maps.clear()
-        _maps[path] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
-    return _maps[path]
+def _coded_rows(name: str, rows: np.ndarray) -> dict[str, np.ndarray]:
+    """As _coded, for rows of four figures: those below 2**16 are told apart as one number, the few others have a place each."""
+    small = (rows < 1 << 16).all(axis=1)
+    own = rows[small]
+    packed = own[:, 0] | (own[:, 1] << np.uint64(16)) | (own[:, 2] << np.uint64(32)) | (own[:, 3] << np.uint64(48))
+    table, back = np.unique(packed, return_inverse=True)
+    whole = np.stack([(table >> np.uint64(16 * k)) & np.uint64(0xFFFF) for k in range(4)], axis=1)
+    code = np.empty(len(rows), np.int64)
+    code[small], code[~small] = back, len(table) + np.arange(int((~small).sum()))
+    whole = np.concatenate([whole, rows[~small]])
+    return {name: whole, f"{name}_of": code.astype(np.min_scalar_type(max(1, len(whole))))}
 
 
 def _of_counts(counts: np.ndarray) -> list[int]:
@@ -202,18 +284,17 @@ def _less(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
 
 
-def _kinds(counts: np.ndarray, group: np.ndarray, n: int, least: int) -> np.ndarray:
-    """For each group: its count, and of keys that are stored the sum of counts and how many have 1, 2, more."""
-    kept = counts >= least
-    parts = [np.bincount(group, weights=counts, minlength=n), np.bincount(group[kept], weights=counts[kept], minlength=n)]
-    parts += [np.bincount(group[kept & w], minlength=n) for w in (counts == 1, counts == 2, counts >= 3)]
-    return np.stack(parts, axis=1).astype(np.float64)
+def _kinds(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run of counts, given where it begins: their sum, and how many are 1, 2, more."""
+    if not len(first):
+        return np.zeros((0, 4), np.uint64)
+    parts = [counts, counts == 1, counts == 2, counts >= 3]
+    return np.stack([np.add.reduceat(p.astype(np.uint64), first) for p in parts], axis=1)
 
 
 def _rest(stats: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     """The weight of the lower order after contexts with such figures; 1 after contexts that have none."""
-    taken = stats[:, 1] - stats[:, 2:] @ np.array(d)
-    return np.where(stats[:, 0] > 0, 1 - taken / np.maximum(stats[:, 0], 1), 1.0)
+    return np.where(stats[:, 0] > 0, stats[:, 1:] @ np.array(d) / np.maximum(stats[:, 0], 1), 1.0)
 
 
 @dataclass(frozen=True)
@@ -239,10 +320,10 @@ def _numbered(folder: str, shelves: int, text: pa.Array) -> tuple[np.ndarray, np
     number = np.full(len(h), UNK, np.uint64)
     order, parts = _by_bucket(_bucket(h, shelves))
     for b, i, j in parts:
-        keys, which = _load(folder, f"vocabulary-{b}"), order[i:j]
-        if len(keys):
+        have, which = _load(folder, f"word-{b}"), order[i:j]
+        if have and len(keys := have["keys"]):
             at = np.minimum(np.searchsorted(keys, h[which]), len(keys) - 1)
-            number[which] = np.where(keys[at] == h[which], _load(folder, f"numbers-{b}")[at], UNK)
+            number[which] = np.where(keys[at] == h[which], have["numbers"][at], UNK)
     n = np.diff(offsets)
     size = np.where(n > 0, n + 3, 0)
     ends = np.concatenate([[0], np.cumsum(size)])
@@ -265,193 +346,198 @@ def _trigrams(sequence: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return context[inside], sequence[2:][inside] if not few else context, np.concatenate([[0], np.cumsum(size)])
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(keys) % np.uint64(buckets)).astype(np.int64)
-
-
-def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order by bucket, and of each bucket its name and where it begins and ends in it."""
-    order = np.argsort(bucket, kind="stable")
-    names, first = np.unique(bucket[order], return_index=True)
-    return order, list(zip(names.tolist(), first.tolist(), [*first.tolist(), len(order)][1:], strict=True))
-
-
-def train(docs: DataFrame, vocabulary: int | None = None, cutoffs: tuple[int, int, int] = CUTOFFS) -> Model:
+def train(docs: DataFrame) -> Model:
     """Counts the words and trigrams of all texts and writes the model's arrays.
 
-    All words have numbers of their own, unless vocabulary bounds them: then those
-    of the greatest counts have, as far as all words of a count fit, and others are one
-    unknown word. cutoffs are for what is stored; discounts and
-    the weights of lower orders come from all counts.
+    All words have numbers of their own, and all n-grams are stored; discounts come from
+    the numbers of n-grams that occur once to four times. Null and wordless texts add
+    nothing, repeated rows count each time, other columns are not read; without words
+    the model has the end alone.
     """
     spark = docs.sparkSession
     path = shared_folder(spark, "ngrams")
     folder = local_path(path)
     os.makedirs(folder)
     source = docs.select("text").where("text is not null")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shelves = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
         for batch in chunks(batches):
             index, words, _ = normal_words(batch.column("text"))
-            count = np.bincount(index, minlength=len(words))
-            sums.add(hashes(words)[count > 0], count[count > 0])
-        keys, counts = sums.total()
-        yield from _blocks(keys, counts, _bucket(keys, buckets))
-
-    def add_words(rows: pa.Table) -> pa.Table:
-        keys, counts = _merged(rows)
-        values, n = np.unique(np.minimum(counts, 1 << 20), return_counts=True)
-        table = {"bucket": pa.array([rows["bucket"][0].as_py()], pa.int32()), "keys": pa.array([_sorted_pack(keys)]), "counts": pa.array([_pack(counts.astype(np.uint64))])}
-        return pa.table(table | {"total": pa.array([int(counts.sum())]), "values": pa.array([values.tolist()], pa.list_(pa.int64())), "n": pa.array([n.tolist()], pa.list_(pa.int64()))})
-
-    wide = "bucket int, keys binary, counts binary, total bigint, values array<bigint>, n array<bigint>"
-    words = written(source.mapInArrow(count_words, _BLOCK).groupBy("bucket").applyInArrow(add_words, wide), "words")
-    tokens, distinct = words.agg(F.sum("total"), F.sum(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()
-    tokens, distinct = tokens or 0, distinct or 0
-    least = 0 if vocabulary is None or distinct <= vocabulary else 1 << 62
-    spread = words.select(F.explode(F.arrays_zip("values", "n")).alias("x")).groupBy("x.values").agg(F.sum("x.n").alias("n")).orderBy(F.desc("values"))
-    number = 0
-    for row in spread.toLocalIterator() if least else ():  # a row for each count that occurs
-        if number + row.n > vocabulary:
-            break
-        least, number = row["values"], number + row.n
-    # so many that a bucket's trigrams fit a task at any size of the corpus
-    buckets3 = max(buckets, tokens // 2_000_000)
+            counts = np.bincount(index, minlength=len(words))
+            sums.add(hashes(words)[counts > 0], counts[counts > 0])  # a word of which nothing is left has none
+        yield from _blocks(*sums.total(), shelves)
 
     def number_words(rows: pa.Table) -> pa.Table:
-        # frequent words have low numbers: the k-th of bucket b has number FIRST + k * buckets + b
+        # frequent words have low numbers: the k-th of shelf b has number FIRST + k * shelves + b
         b = rows["bucket"][0].as_py()
-        keys, counts = _sorted_unpack(rows["keys"][0].as_py()), _unpack(rows["counts"][0].as_py(), np.uint64)
-        keys, counts = keys[counts >= least], counts[counts >= least]
-        if len(keys) * buckets + FIRST + buckets >= 1 << BITS:
+        keys, counts = _merged(rows)
+        if len(keys) * shelves + FIRST + shelves >= 1 << BITS:
             raise ValueError(f"more words than numbers of {BITS} bits")
         ids = np.empty(len(keys), np.uint32)
-        ids[np.lexsort((keys, -counts.astype(np.int64)))] = FIRST + b + buckets * np.arange(len(keys))
-        _save(folder, f"vocabulary-{b}", keys)
-        _save(folder, f"numbers-{b}", ids)
-        return pa.table({"n": pa.array([len(keys)], pa.int64())})
+        ids[np.lexsort((keys, -counts.astype(np.int64)))] = FIRST + b + shelves * np.arange(len(keys))
+        _save(folder, f"word-{b}", {"keys": keys, "numbers": ids})
+        return pa.table({"n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
-    size = words.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(number_words, "n bigint").agg(F.sum("n")).first()[0] or 0
+    numbered = source.mapInArrow(count_words, _BLOCK).groupBy("bucket").applyInArrow(number_words, "n bigint, tokens bigint")
+    size, tokens = (x or 0 for x in numbered.agg(F.sum("n"), F.sum("tokens")).first())
+    # so many that a bucket's trigrams fit a task at any size of the corpus
+    buckets = max(shelves, tokens // BUCKET_TOKENS)
 
     def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Trigrams()
         for batch in chunks(batches):
-            context, word, _ = _trigrams(*_numbered(folder, buckets, batch.column("text")))
-            contexts, keys = _distinct(context, word)
+            context, word, _ = _trigrams(*_numbered(folder, shelves, batch.column("text")))
+            contexts, keys, _ = _grouped(context, word)
             sums.add(contexts, *np.unique(keys, return_counts=True))
-        yield from _trigram_blocks(*sums.total(), buckets3)
+        yield from _trigram_blocks(*sums.total(), buckets)
 
     def add_trigrams(rows: pa.Table) -> pa.Table:
         contexts, keys, counts = _merged_trigrams(rows)
-        b = rows["bucket"][0].as_py()
         group = (keys >> _SHIFT).astype(np.int64)
-        stats = _kinds(counts, group, len(contexts), cutoffs[2])
-        some, kept = stats[:, 1] > 0, counts >= cutoffs[2]
-        place = (np.cumsum(some) - 1).astype(np.uint64)[group[kept]]
-        _save(folder, f"tri-{b}", (place << _SHIFT) | (keys[kept] & _WORD))
-        _save_coded(folder, f"tri-{b}", counts[kept].astype(np.uint32))
-        _save(folder, f"ctx-{b}", contexts[some])
-        _save_coded(folder, f"ctx-{b}", stats[some].astype(np.uint32))
+        first = _firsts(group)
+        words, stats = (keys & _WORD).astype(np.uint32), _kinds(counts, first)
+        # most contexts occur once: their one word needs no place, count or figures
+        once = stats[:, 0] == 1
+        more = ~once[group]
+        arrays = {"once": contexts[once], "once_words": words[first[once]], "contexts": contexts[~once], "words": words[more]}
+        arrays["begin"] = np.append(_firsts(group[more]), int(more.sum())).astype(np.uint32)
+        _save(folder, f"tri-{rows['bucket'][0].as_py()}", arrays | _coded("counts", counts[more]) | _coded_rows("stats", stats[~once]))
         pairs, left = np.unique((contexts[group] << _SHIFT) | (keys & _WORD), return_counts=True)
-        blocks = pa.Table.from_batches(list(_blocks(pairs, left, _bucket(pairs, buckets3))))
-        ones = pa.array([json.dumps(_of_counts(counts))] + [None] * (len(blocks) - 1), pa.string())
-        return blocks.append_column("ones", ones)
+        return pa.Table.from_batches(list(_blocks(pairs, left, buckets, json.dumps(_of_counts(counts)))))
 
-    pairs = written(source.mapInArrow(count_trigrams, _TRIGRAMS).groupBy("bucket").applyInArrow(add_trigrams, f"{_BLOCK}, ones string"), "pairs")
-    n3 = _total(pairs)
+    # pairs of a word and the next, and how many words come before them
+    pairs = source.mapInArrow(count_trigrams, _TRIGRAMS).groupBy("bucket").applyInArrow(add_trigrams, _BLOCK)
+    shape = "bucket int, context binary, stats binary, word binary, types binary, of2 string, of3 string"
 
     def add_pairs(rows: pa.Table) -> pa.Table:
         keys, counts = _merged(rows)
         b = rows["bucket"][0].as_py()
-        kept = counts >= cutoffs[1]
-        _save(folder, f"bi-{b}", keys[kept])
-        _save_coded(folder, f"bi-{b}", counts[kept].astype(np.uint32))
-        context, group = np.unique(keys >> _SHIFT, return_inverse=True)
-        stats = _kinds(counts, group, len(context), cutoffs[1])
+        # a pair is a context too, in the same bucket, if it isn't a text's end: there its count has the context's place
+        have, rest, arrays = _load(folder, f"tri-{b}"), np.ones(len(keys), bool), {}
+        for name in ("once", "contexts"):
+            own = have.get(name, np.zeros(0, np.uint64))
+            hit, at = _find(own, keys)
+            of = np.zeros(len(own), np.uint64)
+            of[at], rest[hit] = counts[hit], False
+            arrays |= _coded(name, of)
+        _save(folder, f"bi-{b}", arrays | {"keys": keys[rest]} | _coded("others", counts[rest]))
+        first = _firsts(keys >> _SHIFT)
+        context, stats = (keys >> _SHIFT)[first], _kinds(counts, first)
         word, types = np.unique(keys & _WORD, return_counts=True)
+        ranges = np.unique(np.concatenate([distinct(context >> np.uint64(RANGE)), distinct(word >> np.uint64(RANGE))]))
+        cuts = [np.searchsorted(x >> np.uint64(RANGE), np.append(ranges, ranges[-1] + np.uint64(1))) for x in (context, word)]
+        of3 = json.dumps(np.sum([json.loads(x) for x in rows["of3"].to_pylist() if x] or [[0] * 4], axis=0).tolist())
         out = []
-        for r in np.unique(np.concatenate([context, word]) >> np.uint64(RANGE)):
-            c, w = context >> np.uint64(RANGE) == r, word >> np.uint64(RANGE) == r
-            out.append((int(r), _pack(context[c]), _pack(stats[c].astype(np.float64).ravel()), _pack(word[w]), _pack(types[w].astype(np.uint64)), None))
-        out[:1] = [(*out[0][:-1], json.dumps(_of_counts(counts)))] if out else []
-        names = ["bucket", "context", "stats", "word", "types", "ones"]
-        return pa.table({k: pa.array(v, pa.int32() if k == "bucket" else pa.string() if k == "ones" else pa.binary()) for k, v in zip(names, zip(*out, strict=True), strict=True)})
+        for k, r in enumerate(ranges.tolist()):
+            (a, b), (c, d) = ((x[k], x[k + 1]) for x in cuts)
+            own = (json.dumps(_of_counts(counts)), of3) if k == 0 else (None, None)
+            out.append((r, _pack(context[a:b]), _pack(stats[a:b].ravel()), _pack(word[c:d]), _pack(types[c:d]), *own))
+        return pa.Table.from_batches([_rows(shape, out)])
 
-    shape = "bucket int, context binary, stats binary, word binary, types binary, ones string"
-    singles = written(pairs.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(add_pairs, shape), "singles")
-    n2 = _total(singles)
+    singles = written(pairs.groupBy("bucket").applyInArrow(add_pairs, shape), "singles")
 
     def add_words_after(rows: pa.Table) -> pa.Table:
         r = rows["bucket"][0].as_py()
-        low, width = r << RANGE, 1 << RANGE
-        stats, types = np.zeros((width, 5)), np.zeros(width, np.int64)
+        low, width = np.uint64(r << RANGE), 1 << RANGE
+        stats, types = np.zeros((width, 4), np.uint64), np.zeros(width, np.uint64)
         for c, s, w, t in zip(*(rows[k].to_pylist() for k in ("context", "stats", "word", "types")), strict=True):
-            np.add.at(stats, _unpack(c, np.uint64).astype(np.int64) - low, _unpack(s, np.float64).reshape(-1, 5))
-            np.add.at(types, _unpack(w, np.uint64).astype(np.int64) - low, _unpack(t, np.uint64).astype(np.int64))
-        _save(folder, f"after-{r}", stats.astype(np.float32))
-        _save(folder, f"types-{r}", types)
-        return pa.table({"ones": [json.dumps(_of_counts(types))], "total": [int(types.sum())], "more": [int((types >= 3).sum())]})
-
-    last = written(singles.drop("ones").groupBy("bucket").applyInArrow(add_words_after, "ones string, total bigint, more bigint"), "types")
-    n1 = _total(last)
+            # a row's words are distinct
+            stats[(_unpack(c) - low).astype(np.int64)] += _unpack(s).reshape(-1, 4)
+            types[(_unpack(w) - low).astype(np.int64)] += _unpack(t)
+        _save(folder, f"one-{r}", {"after": stats.astype(np.min_scalar_type(int(stats.max()))), "types": types.astype(np.min_scalar_type(int(types.max())))})
+        return pa.table({"of1": [json.dumps(_of_counts(types))], "total": [int(types.sum())], "more": [int((types >= 3).sum())]})
+
+    after = singles.select("bucket", "context", "stats", "word", "types")
+    last = written(after.groupBy("bucket").applyInArrow(add_words_after, "of1 string, total bigint, more bigint"), "types")
+    n1, n2, n3 = _total(last, "of1"), _total(singles, "of2"), _total(singles, "of3")
     total, more = (x or 0 for x in last.agg(F.sum("total"), F.sum("more")).first())
     d1, d2, d3 = discounts(n1), discounts(n2), discounts(n3)
     # what is taken from all words goes evenly to all but the start
     taken = (n1[0] * d1[0] + n1[1] * d1[1] + more * d1[2]) / total if total else 1.0
-    return Model(folder, buckets, int(buckets3), size + FIRST, taken / (size + FIRST - 1), int(total), d1, d2, d3)
+    return Model(folder, shelves, int(buckets), size + FIRST, taken / (size + FIRST - 1), int(total), d1, d2, d3)
 
 
 def _of_words(folder: str, name: str, numbers: np.ndarray) -> np.ndarray:
     """Figures of words by number; words that have none have zeros."""
-    distinct, back = np.unique(numbers, return_inverse=True)
-    parts = []
-    order, ranges = _by_bucket(distinct >> np.uint64(RANGE))
+    own, back = np.unique(numbers, return_inverse=True)
+    out = np.zeros((len(own), 4) if name == "after" else len(own))
+    order, ranges = _by_bucket((own >> np.uint64(RANGE)).astype(np.int64))
     for r, i, j in ranges:
-        have = _load(folder, f"{name}-{r}")
-        parts.append(np.asarray(have[(distinct[i:j] - np.uint64(r << RANGE)).astype(np.int64)] if len(have) else np.zeros((j - i, 5) if name == "after" else j - i), np.float64))
-    return np.concatenate(parts)[back] if parts else np.zeros((0, 5) if name == "after" else 0)
+        if have := _load(folder, f"one-{r}"):
+            out[order[i:j]] = have[name][(own[order[i:j]] - np.uint64(r << RANGE)).astype(np.int64)]
+    return out[back]
 
 
-def _total(rows: DataFrame) -> list[int]:
-    found = [json.loads(r.ones) for r in rows.where("ones is not null").select("ones").toLocalIterator()]
-    return np.array(found or [[0] * 4]).sum(axis=0).tolist()
+def _total(rows: DataFrame, name: str) -> list[int]:
+    """Sums of four figures that rows have as JSON: one row for each bucket at most, added up in Spark."""
+    parts = F.from_json(name, "array<bigint>")
+    return [int(x or 0) for x in rows.where(F.col(name).isNotNull()).agg(*(F.sum(parts[k]) for k in range(4))).first()]
 
 
-def _look(folder: str, kind: str, keys: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of keys those stored, by bucket: the bucket, their places among the keys and in the bucket, and their figures."""
-    order, parts = _by_bucket(bucket)
-    for b, i, j in parts:
-        have = _load(folder, f"{kind}-{b}")
-        if not len(have):
-            continue
-        which = order[i:j]
-        at = np.minimum(np.searchsorted(have, keys[which]), len(have) - 1)
-        hit = have[at] == keys[which]
-        yield b, which[hit], at[hit], np.asarray(_load(folder, f"{kind}-{b}-n")[_load(folder, f"{kind}-{b}-c")[at[hit]]], np.float64)
+def _within(words: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted word is between low and high, where words are in order; -1 if it isn't."""
+    low, end = low.astype(np.int64), high.astype(np.int64)
+    high = end.copy()
+    open_ = np.arange(len(low))
+    while len(open_):
+        mid = (low[open_] + high[open_]) >> 1
+        less = words[mid] < wanted[open_]
+        low[open_[less]] = mid[less] + 1
+        high[open_[~less]] = mid[~less]
+        open_ = open_[low[open_] < high[open_]]
+    found = low < end
+    found[found] = words[low[found]] == wanted[found]
+    return np.where(found, low, -1)
+
+
+def _runs(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of these groups, one after another, and how many each has."""
+    n = begin[which + 1] - begin[which]
+    return np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
 
 
 def probabilities(model: Model, contexts: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Each trigram's third word's probability after its context; contexts and keys are those of _distinct, sorted."""
+    """Each trigram's third word's probability after its context; contexts and keys are those of _grouped, keys distinct and sorted."""
     folder = model.folder
     of, w = (key >> _SHIFT).astype(np.int64), key & _WORD
-    v = contexts[of] & _WORD
-    distinct, back = np.unique((v << _SHIFT) | w, return_inverse=True)
-    v, w = distinct >> _SHIFT, distinct & _WORD
-    after, types = _of_words(folder, "after", v), _of_words(folder, "types", w)
+    pairs, back = np.unique(((contexts[of] & _WORD) << _SHIFT) | w, return_inverse=True)
+    after, types = _of_words(folder, "after", pairs >> _SHIFT), _of_words(folder, "types", pairs & _WORD)
     p2 = _rest(after, model.d2) * ((types - _less(types, model.d1)) / max(model.total, 1) + model.even)
-    for _, which, _, n in _look(folder, "bi", distinct, _bucket(distinct, model.buckets)):
-        p2[which] += (n - _less(n, model.d2)) / after[which, 0]
-    rest, total = np.ones(len(contexts)), np.ones(len(contexts))
-    bucket, place = _bucket(contexts, model.buckets), np.full(len(contexts), -1, np.int64)
-    for _, which, at, stats in _look(folder, "ctx", contexts, bucket):
-        rest[which], total[which], place[which] = _rest(stats, model.d3), stats[:, 0], at
-    share3 = np.zeros(len(key))
-    known = np.flatnonzero(place[of] >= 0)
-    stored = (place[of[known]].astype(np.uint64) << _SHIFT) | (key[known] & _WORD)
-    for _, which, _, n in _look(folder, "tri", stored, bucket[of[known]]):
-        share3[known[which]] = (n - _less(n, model.d3)) / total[of[known[which]]]
+    order, parts = _by_bucket(_bucket(pairs, model.buckets))
+    for b, i, j in parts:
+        which, tri, bi = order[i:j], _load(folder, f"tri-{b}"), _load(folder, f"bi-{b}")
+        for keys, name in ((tri.get("once"), "once"), (tri.get("contexts"), "contexts"), (bi.get("keys"), "others")):
+            if not bi or keys is None:
+                continue
+            hit, at = _find(keys, pairs[which])
+            n, own = _counts(bi, name, at), which[hit]
+            own, n = own[n > 0], n[n > 0]
+            p2[own] += (n - _less(n, model.d2)) / after[own, 0]
+    rest, share3 = np.ones(len(contexts)), np.zeros(len(key))
+    # the trigrams of a context stand together
+    begin = np.searchsorted(of, np.arange(len(contexts) + 1))
+    order, parts = _by_bucket(_bucket(contexts, model.buckets))
+    for b, i, j in parts:
+        if not (have := _load(folder, f"tri-{b}")):
+            continue
+        where = order[i:j]
+        hit, at = _find(have["once"], contexts[where])
+        which = where[hit]
+        rest[which] = model.d3[0]
+        rows, n = _runs(begin, which)
+        same = np.repeat(have["once_words"][at], n) == w[rows]
+        share3[rows[same]] = 1 - model.d3[0]
+        hit, at = _find(have["contexts"], contexts[where])
+        which = where[hit]
+        stats = have["stats"][have["stats_of"][at]].astype(np.float64)
+        rest[which] = _rest(stats, model.d3)
+        rows, n = _runs(begin, which)
+        place = _within(have["words"], np.repeat(have["begin"][at], n), np.repeat(have["begin"][at + 1], n), w[rows].astype(np.uint32))
+        known = place >= 0
+        c = _counts(have, "counts", place[known])
+        share3[rows[known]] = (c - _less(c, model.d3)) / np.repeat(stats[:, 0], n)[known]
     return share3 + rest[of] * p2[back]
 
 
@@ -462,7 +548,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
     with an end, which counts as a word of log_prob (natural logarithm) and
     perplexity. Texts that are null or have no words have 0 words and null figures.
     Each row of docs gives a row, repeated rows and null ids too; other columns are
-    not read.
+    not read. Texts are scored whole, however long.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a path and a few numbers
 
@@ -470,11 +556,11 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for batch in chunks(batches):
             context, word, offsets = _trigrams(*_numbered(model.folder, model.shelves, pc.fill_null(batch.column("text"), "")))
-            contexts, key = _distinct(context, word)
-            distinct, back = np.unique(key, return_inverse=True)
-            logs = np.log(probabilities(model, contexts, distinct))[back] if len(key) else np.zeros(0)
+            contexts, key, order = _grouped(context, word)
+            own, back = np.unique(key, return_inverse=True)
+            logs = np.log(probabilities(model, contexts, own))[back]
             n = np.diff(offsets)
-            sums = per_text(logs, offsets)
+            sums = np.bincount(np.repeat(np.arange(len(n)), n)[order], weights=logs, minlength=len(n))
             none = n == 0
             values = np.exp(-sums / np.maximum(n, 1))
             yield pa.RecordBatch.from_arrays(
@@ -484,4 +570,3 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
 
     schema = "doc_id bigint, n_words bigint, log_prob double, perplexity double"
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
-
