@@ -31,8 +31,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest others of every vector."""
-    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+    """The ten nearest of all other vectors, for every vector whose id is divisible by 100."""
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"), queries="vec_id % 100 = 0")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

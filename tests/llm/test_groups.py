@@ -74,6 +74,30 @@ def test_large_nodes_branch_across_the_cluster(spark):
         assert sum(found.get(d) == g for d, g in want.items()) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_families_in_nodes_larger_than_a_task(spark, monkeypatch, rounds):
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    rng = random.Random(5)
+    # three families that share half of their words, so they meet in nodes but are no copies of each other
+    shared = [f"s{k}" for k in range(60)]
+    texts = []
+    for f in range(3):
+        own = [f"f{f}w{k}" for k in range(40)]
+        for k in range(50):
+            words = shared + own
+            words[rng.randrange(100)] = f"x{f}y{k}"
+            words[rng.randrange(100)] = f"z{f}y{k}"
+            texts.append(" ".join(words))
+    # and a chain in which only neighbours are near copies
+    chain = [f"c{k}" for k in range(260)]
+    texts += [" ".join(chain[k * 5 : k * 5 + 100]) for k in range(30)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_groups(list(range(len(texts))), texts, near_dedup.THRESHOLD)
+    found = {r.doc_id: r.group_id for r in near_dedup.near_duplicates(docs, local_rows=10, small=4).collect()}
+    assert found == want
+
+
 @pytest.mark.parametrize("rounds", [1, 3])
 def test_nodes_still_large_after_the_last_round_are_compared(spark, monkeypatch, rounds):
     monkeypatch.setattr(near_dedup, "ROUNDS", rounds, raising=False)
@@ -153,15 +177,38 @@ def test_recall_of_neighbours(spark):
     assert sorted(order) == leaves
 
 
-def test_small_tables_are_searched_exactly(spark):
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_query_goes_through_a_tree_and_keeps_its_recall(spark, sf, monkeypatch):
+    folder = f"/root/testdata/{sf}"
+    df = spark.read.parquet(f"{folder}/embeddings.parquet")
     x = df.toPandas()
     want = brute_neighbours(np.stack(x.embedding).astype(float), x.vec_id.to_numpy(), 10)
+    small = neighbours.grow(points, dim, 8, fit_rows=320)  # learned from a part, still all are found
+    assert 4 < sum(not c for c in small.children) < 60
     found: dict[int, set[int]] = {}
-    for r in queries.op3_nearest_neighbours(spark, SF).collect():
+    for r in rows:
         found.setdefault(r.vec_id, set()).add(r.neighbour_id)
-    assert np.mean([len(found[i] & w) / 10 for i, w in want.items()]) > 0.999
-
+    assert set(found) == {i for i in want if i % 100 == 0}
+    assert np.mean([len(found[i] & want[i]) / 10 for i in found]) >= 0.9
+
+
+def test_equal_vectors_and_leaves_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    rows = [(k, [1.0, 0.0, 0.0]) for k in range(300)] + [(1000 + k, [float(k % 7), 1.0, float(k)]) for k in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found: dict[int, list[int]] = {}
+    for r in neighbours.nearest_neighbours(df, k=3, recall=1.0, queries="vec_id < 300").orderBy("vec_id", "rank").collect():
+        found.setdefault(r.vec_id, []).append(r.neighbour_id)
+    assert found == {k: [i for i in range(4) if i != k][:3] for k in range(300)}
+
+    grown, visited = [], []
+    grow, calibrate = neighbours.grow, neighbours.calibrate
+    monkeypatch.setattr(neighbours, "grow", lambda *a: grown.append(grow(*a)) or grown[-1])
+    monkeypatch.setattr(neighbours, "calibrate", lambda *a: visited.append(calibrate(*a)) or visited[-1])
+    rows = queries.op3_nearest_neighbours(spark, folder).collect()
+    leaves = sum(not c for c in grown[0].children)
+    assert leaves > 10
+    assert visited[0] < leaves
 
 def test_awkward_vectors(spark):
     v = [1.0, 2.0]
