@@ -1,25 +1,36 @@
 """Line dedup that can take documents back.
 
-Every line of every document is a row of a log in the shared folder: +1 when its
-document comes, -1 when it goes. The log's sums are exact reference counts. In front
-of it stands one cuckoo filter for each shard of the lines' hashes: what the filters
-don't know has never been seen, so only lines that they may know are looked up in the
-log. Cuckoo filters can delete, so a line whose count falls to 0 leaves them again,
-and after a deletion the store is as if the document had never come.
+A store is a folder that all executors see. Batches come one after another: documents are
+inserted or deleted. Of each batch the store keeps its documents' lines, its documents,
+and by how much it changed the exact reference count of each line that it touched: the
+count of a line is the sum of its changes, merged into one table now and then. In front
+of the counts stands one cuckoo filter for each shard of the lines' hashes: what the
+filters don't know has never been seen, so only lines that they may know are looked up.
+Cuckoo filters can delete, so a line whose count falls to 0 leaves them again, and
+after a deletion the store is as if the document had never come. A batch counts once
+its record is written, which is the last thing; a store can be opened again from its folder.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import fresh, mix, shared_folder, with_key
 
 SLOTS = 4
-_LOG = "h1 bigint, h2 bigint, did bigint, uid bigint, pos int, batch int, sign int"
+SHARD_LINES = 1 << 18  # distinct lines of a shard at most: its filter, up to 1 MB, is one cell, and one task holds its new lines
+MERGE = 8  # tables of changes that are merged into one
+_LINES = "h1 bigint, h2 bigint, did bigint, uid bigint, pos int"
+_DOCS = "did bigint, uid bigint, sign int"
+_CHANGES = "h1 bigint, h2 bigint, change bigint, before bigint"
 _FILTERS = "shard int, data binary"
+_RECORD = "batch int, inserted boolean, shards int, filters string, counts_from int, n_lines bigint"
 
 
 class CuckooFilter:
@@ -114,67 +125,113 @@ def _cut(docs: DataFrame, drops: DataFrame, did: str, uid: str) -> tuple[DataFra
 
 
 class LineStore:
-    """The log and the filters, in a folder that all executors see."""
+    """Lines, documents, reference counts and filters, in a folder that all executors see.
+
+    With the path of a store that is there, that store is opened; what a batch left
+    behind that ended before its record was written is overwritten.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, shard_lines: int = SHARD_LINES) -> None:
         self.spark = spark
         self.path = path or shared_folder(spark, "lines")
-        self.shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.shard_lines = shard_lines
         self.batch = 0
-        self.filters_at: str | None = None
-
-    def _shard(self) -> Column:
-        return F.pmod(F.xxhash64("h1", "h2"), F.lit(self.shards)).cast("int")
-
-    def log(self) -> DataFrame:
-        """All rows so far."""
-        if not self.batch:
-            return self.spark.createDataFrame([], _LOG)
-        return self.spark.read.schema(_LOG).parquet(*[f"{self.path}/log-{k}" for k in range(self.batch)])
-
-    def live(self) -> DataFrame:
-        """Lines of the documents that are there, with the batch in which they came."""
-        rows = self.log().groupBy("h1", "h2", "did", "uid", "pos").agg(F.sum("sign").alias("n"), F.max_by("batch", F.struct("sign", "batch")).alias("batch"))
-        return rows.where("n > 0").drop("n")
+        self.inserts: list[int] = []
+        self.shards = self.counts_from = self.n_lines = 0
+        self.filters_at = ""
+        records = spark.read.schema(_RECORD).json(f"{self.path}/record-*").orderBy("batch").collect() if path and self._has_records() else []
+        for r in records:  # a row for each batch
+            self.batch, self.shards, self.filters_at, self.counts_from, self.n_lines = r.batch, r.shards, r.filters, r.counts_from, r.n_lines
+            self.inserts += [r.batch] * r.inserted
+
+    def _files(self, name: str) -> tuple[JavaObject, JavaObject]:
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return pattern, pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _has_records(self) -> bool:
+        pattern, files = self._files("record-*")
+        found = files.globStatus(pattern)
+        return found is not None and len(found) > 0
+
+    def _remove(self, name: str) -> None:
+        path, files = self._files(name)
+        files.delete(path, True)
+
+    def _put(self, df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+    def _read(self, schema: str, *names: str) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names])
+
+    def _commit(self, batch: int, inserted: bool, filters: str, n_lines: int) -> None:
+        counts_from = self.counts_from
+        if batch - counts_from >= MERGE:
+            merged = self._changes(batch).groupBy("h1", "h2").agg(F.sum("change").alias("change")).where("change > 0")
+            self._put(merged.withColumn("before", F.lit(0).cast("bigint")), f"merged-{batch}")
+            counts_from = batch
+        row = [(batch, inserted, self.shards, filters, counts_from, n_lines)]
+        self.spark.createDataFrame(row, _RECORD).coalesce(1).write.mode("overwrite").json(f"{self.path}/record-{batch}")
+        self.batch, self.filters_at, self.counts_from, self.n_lines = batch, filters, counts_from, n_lines
+        self.inserts += [batch] * inserted
+
+    def _changes(self, to: int) -> DataFrame:
+        first = [f"merged-{self.counts_from}"] if self.counts_from else []
+        return self._read(_CHANGES, *first, *(f"changes-{k}" for k in range(self.counts_from + 1, to + 1)))
 
     def counts(self) -> DataFrame:
         """The exact reference counts: h1, h2, n."""
-        return self.log().groupBy("h1", "h2").agg(F.sum("sign").alias("n")).where("n > 0")
+        return self._changes(self.batch).groupBy("h1", "h2").agg(F.sum("change").alias("n")).where("n > 0")
 
     def filters(self) -> DataFrame:
-        if self.filters_at is None:
-            return self.spark.createDataFrame([], _FILTERS)
-        return self.spark.read.schema(_FILTERS).parquet(self.filters_at)
+        return self._read(_FILTERS, *([self.filters_at] if self.filters_at else []))
 
-    def _append(self, rows: DataFrame) -> DataFrame:
-        at = f"{self.path}/log-{self.batch}"
-        rows.select("h1", "h2", "did", "uid", "pos", F.lit(self.batch).alias("batch"), "sign").write.parquet(at)
-        self.batch += 1
-        return self.spark.read.schema(_LOG).parquet(at)
+    def lines(self) -> DataFrame:
+        """All lines that ever came, with the batch in which they did."""
+        parts = [self._read(_LINES, f"lines-{k}").withColumn("batch", F.lit(k)) for k in self.inserts]
+        return reduce(DataFrame.unionByName, parts) if parts else self._read(_LINES + ", batch int")
+
+    def _events(self) -> DataFrame:
+        parts = [self._read(_DOCS, f"docs-{k}").withColumn("batch", F.lit(k)) for k in range(1, self.batch + 1)]
+        return reduce(DataFrame.unionByName, parts) if parts else self._read(_DOCS + ", batch int")
+
+    def documents(self) -> DataFrame:
+        """did, uid and batch of the documents that are there, with the batch in which they came."""
+        last = self._events().groupBy("did", "uid").agg(F.max(F.struct("batch", "sign")).alias("e"))
+        return last.where("e.sign > 0").select("did", "uid", "e.batch")
+
+    def live(self) -> DataFrame:
+        """Lines of the documents that are there, with the batch in which they came."""
+        if len(self.inserts) == self.batch:  # nothing was deleted
+            return self.lines()
+        # a document's lines went with it: those of its insertions before it was last deleted
+        gone = self._events().where("sign < 0").groupBy("did", "uid").agg(F.max("batch").alias("gone"))
+        return self.lines().join(gone, ["did", "uid"], "left").where("gone is null or batch > gone").drop("gone")
+
+    def _shard(self, shards: int) -> Column:
+        return F.pmod(F.xxhash64("h1", "h2"), F.lit(shards)).cast("int")
 
     def _known(self, lines: DataFrame) -> DataFrame:
         """Of distinct lines (h1, h2), those that the filters may have."""
-        if self.filters_at is None:
-            return lines.limit(0)
+        if not self.filters_at:
+            return lines.select("h1", "h2").limit(0)
 
         def probe(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
             if not len(rows) or not len(filters):
                 return rows.iloc[:0][["h1", "h2"]]
             return rows[CuckooFilter.of(filters.data.iloc[0]).contains(rows.h1.to_numpy(), rows.h2.to_numpy())][["h1", "h2"]]
 
-        left = lines.withColumn("shard", self._shard()).groupBy("shard")
+        left = lines.select("h1", "h2", self._shard(self.shards).alias("shard")).groupBy("shard")
         return left.cogroup(self.filters().groupBy("shard")).applyInPandas(probe, "h1 bigint, h2 bigint")
 
-    def _update(self, lines: DataFrame, add: bool) -> None:
-        """New filters, with the distinct lines in or out. A shard that grows too full is built anew from the counts."""
-        at = f"{self.path}/filters-{self.batch}"
+    def _update(self, lines: DataFrame, batch: int, add: bool) -> str:
+        """Where new filters are, with the distinct lines in or out. A shard that grows too full is built anew from the counts."""
 
         def change(key: tuple, rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
             h1, h2 = rows.h1.to_numpy(), rows.h2.to_numpy()
             if not len(filters):
-                kept = CuckooFilter(len(rows))
-                while not kept.insert(h1, h2):
-                    kept = CuckooFilter(4 * len(kept.table))
+                kept = _filled(h1, h2, len(rows))
             else:
                 kept = CuckooFilter.of(filters.data.iloc[0])
                 if not add:
@@ -183,22 +240,22 @@ class LineStore:
                     return pd.DataFrame({"shard": [key[0]], "data": [b""]})
             return pd.DataFrame({"shard": [key[0]], "data": [kept.data()]})
 
-        left = lines.withColumn("shard", self._shard()).groupBy("shard")
-        left.cogroup(self.filters().groupBy("shard")).applyInPandas(change, _FILTERS).write.parquet(at)
-        made = self.spark.read.schema(_FILTERS).parquet(at)
+        left = lines.withColumn("shard", self._shard(self.shards)).groupBy("shard")
+        name = f"filters-{batch}"
+        self._put(left.cogroup(self.filters().groupBy("shard")).applyInPandas(change, _FILTERS), name)
+        made = self._read(_FILTERS, name)
         full = made.where("length(data) = 0").select("shard")
-        if add and self.filters_at is not None and not full.isEmpty():
-
-            def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-                kept = CuckooFilter(2 * len(rows))  # room to grow
-                while not kept.insert(rows.h1.to_numpy(), rows.h2.to_numpy()):
-                    kept = CuckooFilter(4 * len(kept.table))
-                return pd.DataFrame({"shard": [key[0]], "data": [kept.data()]})
-
-            again = self.counts().withColumn("shard", self._shard()).join(full, "shard", "left_semi").groupBy("shard").applyInPandas(build, _FILTERS)
-            again.unionByName(made.where("length(data) > 0")).write.parquet(at + "b")
-            at += "b"
-        self.filters_at = at
+        if add and self.filters_at and not full.isEmpty():
+            again = self._sharded(batch).join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_build, _FILTERS)
+            self._put(again.unionByName(made.where("length(data) > 0")), f"grown-{batch}")
+            self._remove(name)
+            name = f"grown-{batch}"
+        return name
+
+    def _sharded(self, batch: int) -> DataFrame:
+        """shard, h1 and h2 of all lines that are there after the batch."""
+        there = self._changes(batch).groupBy("h1", "h2").agg(F.sum("change").alias("n")).where("n > 0")
+        return there.select(self._shard(self.shards).alias("shard"), "h1", "h2")
 
     def insert(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Takes in documents: those given, keyed (see with_key), and the lines of theirs to drop.
@@ -208,40 +265,103 @@ class LineStore:
         position) stays, null ids first. A document that is there already changes nothing.
         """
         keyed, did, uid = with_key(docs)
-        rows = _line_rows(keyed, did, uid)
+        batch = self.batch + 1
+        given = keyed.groupBy(F.col(did).alias("did"), F.col(uid).alias("uid")).agg(F.count("*").alias("n"))
         if self.batch:
-            rows = rows.join(self.live().select("did", "uid").distinct(), ["did", "uid"], "left_anti")
-        rows = self._append(rows.withColumn("sign", F.lit(1)))
-        own = rows.groupBy("h1", "h2").agg(F.min(F.struct("did", "uid", "pos")).alias("owner"), F.count("*").alias("n"))
-        here = F.struct("did", "uid", "pos")
-        if self.filters_at is None:
-            again = own.where("n > 1").select("h1", "h2", "owner")
-            self._update(own.select("h1", "h2"), add=True)
+            given = given.join(self.documents().select("did", "uid", F.lit(1).alias("there")), ["did", "uid"], "left")
+        else:
+            given = given.withColumn("there", F.lit(None).cast("int"))
+        self._put(given.withColumn("sign", F.lit(1)), f"given-{batch}")
+        given = self.spark.read.parquet(f"{self.path}/given-{batch}")
+        self._put(given.where("there is null").select("did", "uid", "sign"), f"docs-{batch}")
+        twice, there = given.agg(F.coalesce(F.max("n"), F.lit(1)) > 1, F.count("there") > 0).first()
+        rows = _line_rows(keyed, did, uid)
+        if there:
+            rows = rows.join(given.where("there is not null").select("did", "uid"), ["did", "uid"], "left_anti")
+        # of a document that is given twice, the lines come once
+        self._put(rows.distinct() if twice else rows, f"lines-{batch}")
+        self._remove(f"given-{batch}")
+        rows = self._read(_LINES, f"lines-{batch}")
+        counted = rows.groupBy("h1", "h2").agg(F.count("*").alias("change"), F.min(F.struct("did", "uid", "pos")).alias("owner"))
+        if self.filters_at:
+            self._put(counted, f"own-{batch}")
+            counted = self.spark.read.parquet(f"{self.path}/own-{batch}")
+            before = self._changes(self.batch).join(self._known(counted), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.sum("change").alias("before"))
+            counted = counted.join(before.where("before > 0"), ["h1", "h2"], "left")
         else:
-            known = self._known(own.select("h1", "h2"))
-            before = self.log().where(F.col("batch") < self.batch - 1).join(known, ["h1", "h2"], "left_semi")
-            before = before.groupBy("h1", "h2").agg(F.sum("sign").alias("m")).where("m > 0")
-            both = own.join(before, ["h1", "h2"], "left")
-            again = both.where("n > 1 or m > 0").select("h1", "h2", F.when(F.col("m").isNull(), F.col("owner")).alias("owner"))
-            self._update(both.where("m is null").select("h1", "h2"), add=True)
+            counted = counted.withColumn("before", F.lit(None).cast("bigint"))
+        self._put(counted.withColumn("before", F.coalesce("before", F.lit(0))), f"changes-{batch}")
+        self._remove(f"own-{batch}")
+        found = self.spark.read.parquet(f"{self.path}/changes-{batch}")
+        n_lines = self.n_lines + found.where("before = 0").count()
+        shards = max(self.shards, 1 << max(0, int(np.ceil(np.log2(max(1, n_lines) / self.shard_lines)))))
+        if self.filters_at and shards > self.shards:  # all filters anew, in more shards
+            self.shards, filters = shards, f"filters-{batch}"
+            self._put(self._sharded(batch).groupBy("shard").applyInPandas(_build, _FILTERS), filters)
+        else:
+            self.shards = shards
+            filters = self._update(found.where("before = 0").select("h1", "h2"), batch, add=True)
+        self._commit(batch, True, filters, n_lines)
+        again = found.where("change > 1 or before > 0").select("h1", "h2", F.when(F.col("before") == 0, F.col("owner")).alias("owner"))
+        here = F.struct("did", "uid", "pos")
         drops = rows.join(again, ["h1", "h2"]).where(~here.eqNullSafe(F.col("owner"))).select("did", "uid", "pos")
         return keyed, drops
 
     def delete(self, docs: DataFrame) -> None:
         """Takes out documents, given as they were inserted (doc_id and text); others are passed over."""
         keyed, did, uid = with_key(docs)
+        batch = self.batch + 1
         gone = keyed.select(F.col(did).alias("did"), F.col(uid).alias("uid")).distinct()
-        rows = self._append(self.live().join(gone, ["did", "uid"], "left_semi").withColumn("sign", F.lit(-1)))
-        touched = rows.select("h1", "h2").distinct()
-        none_left = touched.join(self.counts(), ["h1", "h2"], "left_anti")
-        if self.filters_at is not None:
-            self._update(none_left, add=False)
+        gone = self.documents().join(gone, ["did", "uid"], "left_semi")
+        self._put(gone.select("did", "uid", F.lit(-1).alias("sign"), "batch"), f"docs-{batch}")
+        gone = self.spark.read.parquet(f"{self.path}/docs-{batch}").select("did", "uid", "batch")
+        rows = self.lines().join(gone, ["did", "uid", "batch"], "left_semi")
+        less = rows.groupBy("h1", "h2").agg((-F.count("*")).alias("change"))
+        before = self._changes(self.batch).withColumn("less", F.lit(0).cast("bigint"))
+        both = before.select("h1", "h2", F.col("change").alias("before"), "less").unionByName(less.select("h1", "h2", F.lit(0).cast("bigint").alias("before"), F.col("change").alias("less")))
+        both = both.groupBy("h1", "h2").agg(F.sum("before").alias("before"), F.sum("less").alias("change")).where("change < 0")
+        self._put(both.select("h1", "h2", "change", "before"), f"changes-{batch}")
+        none_left = self._read(_CHANGES, f"changes-{batch}").where("before + change = 0").select("h1", "h2")
+        filters = self._update(none_left, batch, add=False) if self.filters_at else ""
+        self._commit(batch, False, filters, self.n_lines - none_left.count())
 
     def drops(self) -> DataFrame:
         """The lines to drop of the documents that are there now: of each line's occurrences the earliest stays."""
         rows = self.live()
-        own = rows.groupBy("h1", "h2").agg(F.min(F.struct("batch", "did", "uid", "pos")).alias("owner"), F.count("*").alias("n")).where("n > 1")
-        return rows.join(own, ["h1", "h2"]).where(F.struct("batch", "did", "uid", "pos") != F.col("owner")).select("did", "uid", "pos")
+        here = F.struct("batch", "did", "uid", "pos")
+        own = rows.groupBy("h1", "h2").agg(F.min(here).alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
+        return rows.join(own, ["h1", "h2"]).where(here != F.col("owner")).select("did", "uid", "pos")
+
+
+def _filled(h1: np.ndarray, h2: np.ndarray, room: int) -> CuckooFilter:
+    kept = CuckooFilter(room)
+    while not kept.insert(h1, h2):
+        kept = CuckooFilter(4 * len(kept.table))
+    return kept
+
+
+def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """A shard's filter of all its lines, with room to grow."""
+    return pd.DataFrame({"shard": [key[0]], "data": [_filled(rows.h1.to_numpy(), rows.h2.to_numpy(), 2 * len(rows)).data()]})
+
+
+def maintained(docs: DataFrame, second: str, again: str, store: LineStore | None = None) -> DataFrame:
+    """What dedup_lines gives, of a store that documents came to, left, and came to again.
+
+    second and again are SQL conditions on docs. Documents for which second isn't true come
+    first, the others after them; those for which again is true are then deleted, and at
+    last inserted again. All of docs are there in the end, and lines stay where they came first of what is there.
+    """
+    store = store or LineStore(docs.sparkSession)
+    later, back = (F.coalesce(F.expr(c), F.lit(False)) for c in (second, again))
+    docs = docs.select("doc_id", "text")
+    store.insert(docs.where(~later))
+    store.insert(docs.where(later))
+    store.delete(docs.where(back))
+    store.insert(docs.where(back))
+    keyed, did, uid = with_key(docs)
+    cut, dropped, _ = _cut(keyed, store.drops(), did, uid)
+    return cut.select("doc_id", "text", F.col(dropped).alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, store: LineStore | None = None) -> DataFrame:

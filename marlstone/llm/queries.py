@@ -68,8 +68,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that came before."""
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    """Every document without the lines that came before, of a store with all the ways to change it.
+
+    Documents with even ids come first, those with odd ids after them, a quarter is deleted and
+    comes again, so that filters and counts are probed, added to and taken from.
+    """
+    return line_dedup.maintained(_table(spark, sf_dir, "documents"), "doc_id % 2 <> 0", "doc_id % 4 = 0")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_nearest_neighbours, op4_license_scan, op5_decontamination, op6_lm_scoring, op7_near_dedup, op8_resharding, op9_sentencepiece, op10_line_dedup)}
@@ -79,14 +83,16 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.oracle_sql(),
     "op10_line_dedup": r"""
         WITH numbered AS (
-          SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+          SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k,
+                 CASE WHEN doc_id % 4 = 0 THEN 3 WHEN doc_id % 2 <> 0 THEN 2 ELSE 1 END AS came
+          FROM documents),
         lines AS (
-          SELECT k, doc_id, unnest(string_split(text, chr(10))) AS line,
+          SELECT k, came, doc_id, unnest(string_split(text, chr(10))) AS line,
                  generate_subscripts(string_split(text, chr(10)), 1) AS pos
           FROM numbered),
         marked AS (
           SELECT *, NOT regexp_matches(line, '\S')
-                    OR row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) = 1 AS stays
+                    OR row_number() OVER (PARTITION BY line ORDER BY came, doc_id, pos) = 1 AS stays
           FROM lines),
         put AS (
           SELECT k, string_agg(line, chr(10) ORDER BY pos) FILTER (stays) AS text,

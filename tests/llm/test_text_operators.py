@@ -268,7 +268,7 @@ def test_lines_come_and_go(spark):
     rng = random.Random(8)
     first, second = random_docs(rng, 0, 40), random_docs(rng, 100, 40)
     make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-    store = line_dedup.LineStore(spark, shards=3)
+    store = line_dedup.LineStore(spark, shard_lines=8)
     seen: set[str] = set()
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(make(first), store).collect()} == brute_lines(first, seen)
     before = sorted(map(tuple, store.counts().collect()))
@@ -327,3 +327,44 @@ def test_a_filter_that_is_too_full_says_so():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**62, (2, 100))
     assert not line_dedup.CuckooFilter(0).insert(h[0], h[1])
+def test_a_store_is_opened_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MERGE", 3)
+    rng = random.Random(9)
+    path, seen = f"file://{tmp_path}/store", set()
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    given = []
+    for k in range(5):
+        batch = random_docs(rng, 100 * k, 12) + [(100 * k + 50, f"only {k}\n" + "\n".join(f"{k}:{i}" for i in range(40)))]
+        given += batch
+        store = line_dedup.LineStore(spark, path, shard_lines=16)  # each time from the folder
+        assert store.batch == k
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(make(batch), store).collect()} == brute_lines(batch, seen)
+    assert store.shards >= 8
+    count = Counter(line for _, t in given for line in (t or "").split("\n") if line.strip())
+    assert sorted(r.n for r in store.counts().collect()) == sorted(count.values())
+    # all that is there is in the filters, and little else
+    lines = store.lines().select("h1", "h2").distinct()
+    assert store._known(lines).count() == lines.count()
+    os.makedirs(f"{tmp_path}/store/docs-6/half")  # as if a batch had ended before its record was written
+    store = line_dedup.LineStore(spark, path, shard_lines=16)
+    store.delete(make(given[:13]))
+    assert line_dedup.LineStore(spark, path).batch == 6
+    gone = lines.join(line_dedup.LineStore(spark, path).counts(), ["h1", "h2"], "left_anti")
+    left = line_dedup.LineStore(spark, path)
+    assert gone.count() >= 41
+    assert left._known(gone).count() <= 2
+    kept = Counter(line for _, t in given[13:] for line in (t or "").split("\n") if line.strip())
+    assert sorted(r.n for r in left.counts().collect()) == sorted(kept.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_query_is_brute_force(spark, seed):
+    docs = random_docs(random.Random(seed), 0, 90)
+    found = line_dedup.maintained(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id % 2 <> 0", "doc_id % 4 = 0").collect()
+    order = sorted(docs, key=lambda d: (3 if d[0] % 4 == 0 else 2 if d[0] % 2 else 1, d[0]))
+    assert {r.doc_id: r.text for r in found} == brute_lines(order, set())
+    df, rows = awkward(spark, ["keep\nshared", "shared\nkeep", "shared\n\n"])
+    assert line_dedup.maintained(df, "doc_id > 5", "doc_id % 2 = 0").count() == len(rows)
+    assert line_dedup.maintained(df.limit(0), "doc_id > 5", "doc_id % 2 = 0").count() == 0
+
+
