@@ -14,13 +14,13 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import chunks, normal, normal_words
+from marlstone.llm.common import chunks, distinct, hashes, mix, normal_array, normal_words
 
 PASSAGE = 128
 SHARE = 0.5  # of the score that an item gets as its own query
@@ -29,7 +29,7 @@ RUN = 3
 K1, B = 1.2, 0.75
 BLOCK = 64  # postings
 RANGE = 2  # items
-INDEX_BYTES = 16 << 20  # of benchmark text in one index; a larger benchmark has several
+INDEX_BYTES = 4 << 20  # of benchmark text in one index, about 130 MB in a worker; a larger benchmark has several
 SCHEMA = "doc_id bigint, item_id bigint, bm25_share double, question_overlap double, answer_overlap double"
 
 
@@ -45,44 +45,83 @@ class Item:
 def parse(item_id: int, text: str) -> list[Item]:
     """The item, if it has words: its question is all but its last sentence, its answer the last one; a single sentence is both."""
     sentences = [s for line in text.split("\n") for s in line.replace("? ", "?\n").replace(". ", ".\n").replace("! ", "!\n").split("\n")]
-    tokens = [w for s in sentences if (w := [n for x in s.split() if (n := normal(x))])]
+    split = [s.split() for s in sentences]
+    words = iter(normal_array(pa.array([w for s in split for w in s], pa.string())).to_pylist())
+    tokens = [w for s in split if (w := [n for n in (next(words) for _ in s) if n])]
     if not tokens:
         return []
-    words = [w for s in tokens for w in s]
-    question = len(words) - len(tokens[-1]) if len(tokens) > 1 else len(words)
-    return [Item(item_id, words, question)]
+    all_words = [w for s in tokens for w in s]
+    question = len(all_words) - len(tokens[-1]) if len(tokens) > 1 else len(all_words)
+    return [Item(item_id, all_words, question)]
+
+
+def parts(item: Item) -> list[list[str]]:
+    """What of an item is indexed as one: all of it, or runs that a passage holds whole if it is too long for that."""
+    half, n, out = PASSAGE // 2, len(item.words), []
+    for low in range(0, n, half):
+        if low == 0 or n - low >= half // 2:
+            last = n - low - half < half // 2
+            out.append(item.words[low:] if last else item.words[low : low + half])
+            if last:
+                break
+    return out
 
 
-def _runs(words: list[str]) -> set[tuple[str, ...]]:
-    n = min(RUN, len(words))
-    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if words else set()
+@dataclass
+class Statistics:
+    """Of a whole benchmark: in how many parts each word stands, the number of parts, and their words."""
+
+    df: Counter[str]
+    n: int
+    words: int
+
+    @classmethod
+    def of(cls, items: list[Item]) -> Statistics:
+        found = cls(Counter(), 0, 0)
+        found.add(items)
+        return found
+
+    def add(self, items: list[Item]) -> None:
+        for item in items:
+            for words in parts(item):
+                self.df.update(set(words))
+                self.n += 1
+                self.words += len(words)
+
+
+def _run_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of so many words, given by their hashes."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    run = mix(h[:n] + np.uint64(size))
+    for k in range(1, size):
+        run = mix(run * np.uint64(3) + h[k : k + n])
+    return distinct(run)
+
+
+def _runs(words: list[str]) -> tuple[int, np.ndarray]:
+    """Words in a run, RUN unless there are fewer, and the hashes of all runs."""
+    size = min(RUN, len(words))
+    return size, _run_hashes(hashes(words), size)
 
 
-@dataclass
 class Index:
-    """An item too long for a passage to hold is indexed in parts, each of which is retrieved.
+    """Postings by term, impacts as shares of the item's own score, and their maxima by term and by block.
 
-    Postings by term, impacts as shares of the item's own score, and their maxima by term and by block.
+    Frequencies and the mean length are those of the whole benchmark, given as
+    statistics, so a part's scores are the same in whichever index it is.
     """
 
-    items: list[Item]
-    entries: list[tuple[int, list[str]]] = field(default_factory=list)  # of each part of an item: the item, its words
-
-    def __post_init__(self) -> None:
-        half = PASSAGE // 2
-        for k, item in enumerate(self.items):
-            n = len(item.words)
-            for low in range(0, n, half):
-                if low == 0 or n - low >= half // 2:
-                    self.entries.append((k, item.words[low : low + half] if n - low - half >= half // 2 else item.words[low:]))
-                    if n - low - half < half // 2:
-                        break
-        df = Counter(w for _, words in self.entries for w in set(words))
-        n = len(self.entries)
-        mean = sum(len(words) for _, words in self.entries) / max(1, n)
-        idf = {w: float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for w, d in df.items()}
+    def __init__(self, items: list[Item], share: float = SHARE, statistics: Statistics | None = None) -> None:
+        whole = statistics or Statistics.of(items)
+        self.ids = [i.item_id for i in items]
+        pieces = [(k, words) for k, item in enumerate(items) for words in parts(item)]
+        self.item_of = [k for k, _ in pieces]
+        mean = whole.words / max(1, whole.n)
+        idf = {w: float(np.log(1 + (whole.n - d + 0.5) / (d + 0.5))) for w in {w for _, words in pieces for w in words} for d in (whole.df[w],)}
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for e, (_, words) in enumerate(self.entries):
+        for e, (_, words) in enumerate(pieces):
             tf = Counter(words)
             raw = {w: idf[w] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(words) / mean)) for w, c in tf.items()}
             own = sum(raw.values())
@@ -97,15 +136,15 @@ class Index:
         # common terms, as many as together give no item more than half the threshold: a
         # passage needs the rest of it from the others
         common = np.zeros(len(self.docs), bool)
-        given = np.zeros(len(self.entries))
+        given = np.zeros(len(pieces))
         for t in sorted(range(len(self.docs)), key=lambda t: -len(self.docs[t])):
             given[self.docs[t]] += self.impacts[t]
-            if given.max() > SHARE / 2:
+            if given.max() > share / 2:
                 given[self.docs[t]] -= self.impacts[t]
                 break
             common[t] = True
         self.rare = ~common
-        self.ranges = -(-len(self.entries) // RANGE)
+        self.ranges = -(-len(pieces) // RANGE)
         self.common_most = np.maximum.reduceat(given, np.arange(0, len(given), RANGE)) if len(given) else given
         most: list[dict[int, float]] = [{} for _ in self.docs]  # of each rare term, by range of items
         for t in np.flatnonzero(self.rare):
@@ -114,13 +153,13 @@ class Index:
         self.range_first = np.cumsum([0, *map(len, most)])
         self.range_of = np.array([r for m in most for r in m], np.int64)
         self.range_max = np.array([x for m in most for x in m.values()])
-        self.question = [_runs(i.words[: i.question]) for i in self.items]
-        self.answer = [_runs(i.words[i.question :]) or _runs(i.words) for i in self.items]
+        self.question = [_runs(i.words[: i.question]) for i in items]
+        self.answer = [_runs(i.words[i.question :] or i.words) for i in items]
 
     def retrieve(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """Entries whose impacts for the distinct terms sum to the threshold, by block-max WAND."""
         docs, impacts, upper, eps = self.docs, self.impacts, self.upper, 1e-9
-        end = len(self.entries)
+        end = len(self.item_of)
         at = dict.fromkeys(terms, 0)
         head = {t: docs[t][0] for t in terms}
         found = []
@@ -176,7 +215,7 @@ class Index:
         row, at, terms = row[known], at[known], terms[known].astype(np.int64)
         here, before = at < windows[row], at > 0
         window = np.concatenate([(base[row] + at)[here], (base[row] + at - 1)[before]])
-        both = np.unique(window * len(self.docs) + np.concatenate([terms[here], terms[before]]))
+        both = distinct(window * len(self.docs) + np.concatenate([terms[here], terms[before]]))
         window, terms = np.divmod(both, len(self.docs))
         rare = self.rare[terms]
         w, t = window[rare], terms[rare]
@@ -184,23 +223,21 @@ class Index:
         total = int(count.sum())
         entry = np.arange(total) - np.repeat(np.cumsum(count) - count - self.range_first[t], count)
         key = np.repeat(w, count) * self.ranges + self.range_of[entry]
-        if (bins := int(windows.sum()) * self.ranges) <= 1 << 23:
-            keys = np.arange(bins)
-            sums = np.bincount(key, weights=self.range_max[entry], minlength=bins)
-        else:
-            keys, back = np.unique(key, return_inverse=True)
-            sums = np.bincount(back, weights=self.range_max[entry], minlength=len(keys))
+        # a passage without rare terms of a range has at most half the threshold in it
+        keys, back = np.unique(key, return_inverse=True)
+        sums = np.bincount(back, weights=self.range_max[entry], minlength=len(keys))
         able = keys[sums + self.common_most[keys % self.ranges] >= least - 1e-6] // self.ranges
-        for k in np.unique(able):
+        for k in distinct(able):
             low, high = np.searchsorted(window, [k, k + 1])
             yield int(np.searchsorted(base, k, "right")) - 1, terms[low:high].tolist()
 
 
-def _overlap(runs: set[tuple[str, ...]], sizes: dict[int, set[tuple[str, ...]]], words: list[str]) -> float:
-    n = len(next(iter(runs)))
-    if n not in sizes:
-        sizes[n] = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
-    return len(runs & sizes[n]) / len(runs)
+def _overlap(runs: tuple[int, np.ndarray], own: dict[int, np.ndarray], words: np.ndarray) -> float:
+    """The share of the runs that a document holds, given as its words' hashes; own keeps its runs by their size."""
+    size, wanted = runs
+    if size not in own:
+        own[size] = _run_hashes(words, size)
+    return float(np.isin(wanted, own[size], assume_unique=True).mean())
 
 
 def _leaks(index: Index, text: pa.Array, share: float, question: float, answer: float) -> Iterator[tuple[int, int, float, float, float]]:
@@ -212,32 +249,39 @@ def _leaks(index: Index, text: pa.Array, share: float, question: float, answer:
     best: dict[int, dict[int, float]] = defaultdict(dict)
     for row, passage in index.passages(terms, offsets, share):
         for entry, score in index.retrieve(passage, share):
-            item = index.entries[entry][0]
+            item = index.item_of[entry]
             best[row][item] = max(best[row].get(item, 0.0), score)
+    hashed = hashes(words) if best else np.zeros(0, np.uint64)
     for row, found in best.items():
-        if found:
-            own = [words[k] for k in numbers[offsets[row] : offsets[row + 1]]]
-            sizes: dict[int, set[tuple[str, ...]]] = {}
-            for item, score in sorted(found.items()):
-                q = _overlap(index.question[item], sizes, own)
-                a = _overlap(index.answer[item], sizes, own)
-                if q >= question and a >= answer:
-                    yield row, index.items[item].item_id, score, q, a
-
-
-def _indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the whole benchmark, each of so many bytes that it can be sent to all workers."""
+        words_of = hashed[numbers[offsets[row] : offsets[row + 1]]]
+        own: dict[int, np.ndarray] = {}
+        for item, score in sorted(found.items()):
+            q = _overlap(index.question[item], own, words_of)
+            a = _overlap(index.answer[item], own, words_of)
+            if q >= question and a >= answer:
+                yield row, index.ids[item], score, q, a
+
+
+def _indexes(benchmark: DataFrame, share: float) -> Iterator[Index]:
+    """Indexes of the whole benchmark, each of so many bytes of text that it can be sent to all workers.
+
+    The driver reads the benchmark's items one after another, twice: to count its words, of
+    which it keeps the distinct ones, and to index it.
+    """
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
+    whole = Statistics.of([])
+    for row in rows.toLocalIterator():
+        whole.add(parse(int(row.item_id), row.text))
     part: list[Item] = []
     size = 0
     for row in rows.toLocalIterator():
         part += parse(int(row.item_id), row.text)
         size += len(row.text)
-        if size >= INDEX_BYTES:
-            yield Index(part)
+        if part and size >= INDEX_BYTES:
+            yield Index(part, share, whole)
             part, size = [], 0
     if part:
-        yield Index(part)
+        yield Index(part, share, whole)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
@@ -253,7 +297,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, question:
     found = None
     spark = docs.sparkSession
     source = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("text is not null")
-    for index in _indexes(benchmark):
+    for index in _indexes(benchmark, share):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -272,8 +316,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, question:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item of the benchmark (see leaks)."""
-    for index in _indexes(benchmark):
+    """The rows of docs, with all their columns, that hold no item of the benchmark (see leaks).
+
+    Rows with null, empty or wordless texts stay, as do all rows if the benchmark has no
+    item; repeated rows all stay or all go. Columns of any name are passed on.
+    """
+    for index in _indexes(benchmark, share):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001

@@ -1,10 +1,11 @@
 """License scans by a positional index of rare words.
 
-The templates of licence notices are indexed by word and position. A file is looked
-up by its rarest licence words only: a template can match where its rarest word,
-by inverse document frequency over all files, stands. The postings of the template's
-next rarest words must agree with it on the relative position, and then the
-mandatory phrases are verified word by word.
+The templates of licence notices are indexed by word: each of a phrase's rarest words, by
+inverse document frequency over all files, has a posting with the phrase and the word's
+position in it. A file's licence words are looked up from those of the highest frequency
+weight on. A posting says where the phrase would begin in the file; the postings of the
+phrase's next rarest words must say the same, so that the sets of such places are
+intersected, and where all agree the mandatory phrases are verified word by word.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import chunks, normal, normal_words
+from marlstone.llm.common import chunks, distinct, normal_array, normal_words
 
 SCHEMA = "doc_id bigint, license string, first_word bigint, n_matches bigint"
 SLACK = 12  # words that may stand between two mandatory phrases
+DEPTH = 3  # of a phrase's words so many have postings, the rarest ones; all words are verified
 
 
 @dataclass(frozen=True)
@@ -60,69 +62,98 @@ TEMPLATES = (
 
 def phrase_words(phrase: str) -> list[str]:
     """The phrase's words in normal form."""
-    return [n for w in phrase.split() if (n := normal(w))]
+    return [n for n in normal_array(pa.array(phrase.split(), pa.string())).to_pylist() if n]
 
 
 class LicenseIndex:
-    """Postings (template, phrase, position) by word, and each template's words from the rarest on."""
+    """Postings (phrase, position) by word, for each phrase's rarest word, the next rarest, and so on to DEPTH."""
 
     def __init__(self, templates: Sequence[Template], slack: int = SLACK) -> None:
         self.slack = slack
         self.names = [t.license for t in templates]
-        self.phrases = [[w for p in t.phrases if (w := phrase_words(p))] for t in templates]
-        self.words = sorted({w for t in self.phrases for p in t for w in p})
+        phrases = [[w for p in t.phrases if (w := phrase_words(p))] for t in templates]
+        self.words = sorted({w for t in phrases for p in t for w in p})
         self.number = {w: k for k, w in enumerate(self.words)}
-        self.coded = [[[self.number[w] for w in p] for p in t] for t in self.phrases]
-        self.postings: dict[int, list[tuple[int, int, int]]] = {}
-        for t, phrases in enumerate(self.coded):
-            for p, phrase in enumerate(phrases):
-                for at, w in enumerate(phrase):
-                    self.postings.setdefault(w, []).append((t, p, at))
+        self.phrases = [np.array([self.number[w] for w in p], np.int64) for t in phrases for p in t]
+        ends = np.cumsum([len(t) for t in phrases]).tolist()
+        self.of_template = [range(end - len(t), end) for end, t in zip(ends, phrases, strict=True)]
         self.rank([0] * len(self.words), 1)
 
     def rank(self, df: Sequence[int], files: int) -> None:
-        """Sets the words' inverse document frequencies from the numbers of files that hold them."""
+        """Sets the words' inverse document frequencies from the numbers of files that hold them, and the postings."""
         self.idf = np.log((1 + files) / (1 + np.asarray(df, float)))
-        order = lambda t, p: sorted(range(len(self.coded[t][p])), key=lambda at: (-self.idf[self.coded[t][p][at]], at))
-        self.rarest = [[order(t, p) for p in range(len(self.coded[t]))] for t in range(len(self.coded))]
-        # of each template the word by which files are looked up, with its phrase and position
-        self.leads: dict[int, list[tuple[int, int, int]]] = {}
-        for t, phrases in enumerate(self.coded):
-            if phrases:
-                p = max(range(len(phrases)), key=lambda p: self.idf[phrases[p][self.rarest[t][p][0]]])
-                at = self.rarest[t][p][0]
-                self.leads.setdefault(phrases[p][at], []).append((t, p, at))
-        self.is_lead = np.zeros(len(self.words) + 1, bool)
-        self.is_lead[list(self.leads)] = True
-
-    def _stands(self, own: np.ndarray, t: int, p: int, start: int) -> bool:
-        phrase = self.coded[t][p]
-        if start < 0 or start + len(phrase) > len(own):
-            return False
-        # the rarest words first: where they don't agree on the position, nothing else is looked at
-        return all(own[start + at] == phrase[at] for at in self.rarest[t][p])
-
-    def find(self, own: np.ndarray) -> dict[str, list[int]]:
-        """Licences of a file, given as its words' numbers (-1: in no template), and where their notices begin."""
-        found: dict[str, set[int]] = {}
-        for position in np.flatnonzero(self.is_lead[own]):
-            for t, p, at in self.leads[int(own[position])]:
-                if not self._stands(own, t, p, position - at):
+        rarest = [np.lexsort((np.arange(len(p)), -self.idf[p]))[:DEPTH] for p in self.phrases]
+        # at each depth, CSR by word: which phrases have the word as their rarest, second rarest, ..., and where
+        self.postings = []
+        for depth in range(DEPTH):
+            have = [(int(p[r[depth]]), k, int(r[depth])) for k, (p, r) in enumerate(zip(self.phrases, rarest, strict=True)) if depth < len(r)]
+            word, phrase, at = np.array(sorted(have), np.int64).reshape(-1, 3).T
+            self.postings.append((np.searchsorted(word, np.arange(len(self.words) + 1)), phrase, at))
+
+    def _places(self, depth: int, coded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Keys (place where the phrase would begin, phrase) of all postings at this depth of the words at these places."""
+        first, phrase, position = self.postings[depth]
+        word = coded[at]
+        n = first[word + 1] - first[word]
+        some = n > 0
+        at, word, n = at[some], word[some], n[some]
+        entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first[word], n)
+        return (np.repeat(at, n) - position[entry]) * len(self.phrases) + phrase[entry]
+
+    def phrases_in(self, coded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrase and first place of each phrase that stands in a file; files are given one after another as their words' numbers (-1: in no template)."""
+        known = np.flatnonzero(coded >= 0)
+        found = distinct(self._places(0, coded, known))
+        for depth in range(1, DEPTH):
+            if not len(found):
+                break
+            # only files in which a phrase's rarer words stand are looked up further
+            file = np.searchsorted(offsets, np.maximum(found // len(self.phrases), 0), "right") - 1
+            mine = np.zeros(len(offsets), bool)
+            mine[file] = True
+            known = known[mine[np.searchsorted(offsets, known, "right") - 1]]
+            short = np.array([len(p) <= depth for p in self.phrases])[found % len(self.phrases)]
+            found = found[short | np.isin(found, self._places(depth, coded, known))]
+        place, phrase = np.divmod(found, max(1, len(self.phrases)))
+        keep = place >= 0
+        place, phrase = place[keep], phrase[keep]
+        size = np.array([len(p) for p in self.phrases] or [0])[phrase]
+        inside = place + size <= offsets[np.searchsorted(offsets, place, "right")] if len(place) else np.zeros(0, bool)
+        place, phrase = place[inside], phrase[inside]
+        stands = np.zeros(len(place), bool)
+        for k in np.unique(phrase).tolist():
+            which = np.flatnonzero(phrase == k)
+            words = self.phrases[k]
+            stands[which] = (coded[place[which, None] + np.arange(len(words))] == words).all(axis=1)
+        return phrase[stands], place[stands]
+
+    def find(self, coded: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str, int, int]]:
+        """File, licence, first word and number of notices, for all licences of all files."""
+        phrase, place = self.phrases_in(coded, offsets)
+        begins: dict[tuple[int, str], set[int]] = {}
+        where = {k: set(place[phrase == k].tolist()) for k in np.unique(phrase).tolist()}
+        for name, own in zip(self.names, self.of_template, strict=True):
+            if not own or any(p not in where for p in own):
+                continue
+            # from the last phrase to the first: where one begins after which the others follow in reach
+            starts = where[own[-1]]
+            for p in reversed(own[:-1]):
+                size = len(self.phrases[p])
+                starts = {s for s in where[p] if any(s + size + gap in starts for gap in range(self.slack + 1))}
+            for s in starts:
+                file = int(np.searchsorted(offsets, s, "right")) - 1
+                if len(own) > 1 and not self._all_within(own, s, where, int(offsets[file + 1])):
                     continue
-                for begin in self._rest(own, t, p, int(position - at)):
-                    found.setdefault(self.names[t], set()).add(begin)
-        return {name: sorted(begins) for name, begins in found.items()}
-
-    def _rest(self, own: np.ndarray, t: int, p: int, start: int) -> list[int]:
-        """Where notices begin whose phrase p stands at start: the phrases before and after it must stand in reach."""
-        ends = {start + len(self.coded[t][p])}
-        for q in range(p + 1, len(self.coded[t])):
-            ends = {s + len(self.coded[t][q]) for e in ends for s in range(e, e + self.slack + 1) if self._stands(own, t, q, s)}
-        starts = {start} if ends else set()
-        for q in range(p - 1, -1, -1):
-            size = len(self.coded[t][q])
-            starts = {b for s in starts for b in range(s - self.slack - size, s - size + 1) if self._stands(own, t, q, b)}
-        return sorted(starts)
+                begins.setdefault((file, name), set()).add(s - int(offsets[file]))
+        return [(file, name, min(b), len(b)) for (file, name), b in sorted(begins.items())]
+
+    def _all_within(self, own: range, start: int, where: dict[int, set[int]], end: int) -> bool:
+        """Whether phrases follow from start on that all stand in the same file, which ends at end."""
+        reach = {start}
+        for p, q in zip(own, own[1:], strict=False):
+            size = len(self.phrases[p])
+            reach = {s for r in reach for s in range(r + size, r + size + self.slack + 1) if s in where[q] and s + len(self.phrases[q]) <= end}
+        return bool(reach)
 
 
 def _numbers(index: LicenseIndex, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +184,7 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, slack: int
             coded, offsets = _numbers(index, batch.column("text"))
             row = np.repeat(np.arange(len(batch), dtype=np.int64), np.diff(offsets))
             known = coded >= 0
-            both = np.unique(row[known] * len(index.words) + coded[known])
+            both = distinct(row[known] * len(index.words) + coded[known])
             df += np.bincount(both % max(1, len(index.words)), minlength=len(index.words))
             files += len(batch)
         yield pa.RecordBatch.from_arrays([pa.array([*range(len(df)), -1]), pa.array([*df.tolist(), files])], ["word", "n"])
@@ -169,11 +200,7 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, slack: int
         index = shared.value
         for batch in chunks(batches):
             coded, offsets = _numbers(index, batch.column("text"))
-            leads = np.flatnonzero(index.is_lead[coded])
-            out: list[tuple[int, str, int, int]] = []
-            for row in np.unique(np.searchsorted(offsets, leads, "right") - 1).tolist():
-                found = index.find(coded[offsets[row] : offsets[row + 1]])
-                out += [(row, name, begins[0], len(begins)) for name, begins in sorted(found.items())]
+            out = index.find(coded, offsets)
             if out:
                 row, name, first, n = map(list, zip(*out, strict=True))
                 ids = batch.column("doc_id").take(pa.array(row))

@@ -8,9 +8,11 @@ of its value there (Christiani and Pagh, 2017). Small nodes are compared pair by
 pair, larger ones branch again. Independent trees repeat this until a pair at the
 threshold is met with the recall aimed at.
 
-Documents with equal signatures are one from the start, so a node that doesn't get
-smaller holds many documents that are alike but not equal; such nodes are compared
-pair by pair in the end, however large.
+Documents with equal signatures are one from the start. A node too large for one task
+holds many documents that are alike but not equal: all its members are compared with one of
+them, in parts, and those that are like it are known to be connected. Only what has
+pairs that are not yet known to be connected branches on; what is left after some rounds of
+that is compared pair by pair, a block against a block at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,8 @@ from marlstone.llm.common import chunks, fresh, hashes, mix, normal_words, with_
 COORDINATES = 128
 THRESHOLD = 0.6
 SHINGLE = 2
-ROUNDS = 8  # of branching across the cluster; nodes still large after them are compared as they are
+ROUNDS = 4  # of branching across the cluster; nodes still large after them are compared block by block
+_NODE = "path bigint, vals binary, sig bigint, label bigint"
 _EDGES = "a bigint, b bigint"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -203,7 +207,7 @@ def groups(
 ) -> DataFrame:
     """did, uid (see with_key) and set, which copies and near copies have in common.
 
-    A row for each row of docs whose text has words.
+    A row for each row of docs whose text isn't blank.
     """
     keyed, did, uid = with_key(docs)
     trees = trees or trees_for(threshold, recall)
@@ -213,8 +217,15 @@ def groups(
         for batch in chunks(batches):
             found = signatures(batch.column("text"), coordinates, shingle)
             words = (found != 0xFFFFFFFF).any(axis=1)
-            rows, found = batch.filter(pa.array(words)), found[words]
+            # a text of symbols alone has no pairs of words: it is in no node, and its group are its exact copies
+            symbols = pc.not_equal(pc.utf8_trim_whitespace(batch.column("text")), "").to_numpy(zero_copy_only=False) & ~words
+            if symbols.any():
+                seeds = hashes(batch.column("text").filter(pa.array(symbols)).to_pylist())
+                found[symbols] = mix(seeds[:, None] + np.arange(1, coordinates + 1, dtype=np.uint64) * _GOLD).astype(np.uint32)
+            used = words | symbols
+            rows, found, plain = batch.filter(pa.array(used)), found[used], words[used]
             children = [_children(np.full(len(found), root), found, threshold) for root in roots]
+            children = [(r[plain[r]], p[plain[r]]) for r, p in children]
             row = np.concatenate([r for r, _ in children])
             order = np.argsort(row, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(found)))]).astype(np.int32)
@@ -235,7 +246,17 @@ def groups(
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, child = _children(batch.column("path").to_numpy().view(np.uint64), values_of(batch.column("vals")), threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("vals").take(pa.array(row))], ["path", "vals"])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in ("vals", "sig", "label"))], ["path", "vals", "sig", "label"])
+
+    def like_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = (values_of(batch.column("vals")) == values_of(batch.column("first"))).sum(axis=1) >= least
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "vals", "sig", "label", "first_sig")), pa.array(alike)], ["path", "vals", "sig", "label", "first_sig", "alike"])
+
+    def in_block(rows: pa.Table) -> pa.Table:
+        sig = rows["sig"].to_numpy()
+        left, right = _connected(np.arange(len(sig)), values_of(rows["vals"].combine_chunks()), least)
+        return pa.table({"a": sig[left], "b": sig[right]})
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # all nodes of a partition; a row carries no id, as the signature gives it
@@ -254,21 +275,43 @@ def groups(
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(signed.count() * trees / threshold / 30_000))
     # copies count once
     sizes = signed.groupBy("sig").agg(F.first("paths").alias("paths")).select(F.explode("paths").alias("path")).groupBy("path").count()
-    large = written(sizes.where(F.col("count") > local_rows).select("path"), "large-nodes")
-    nodes = one.select(F.explode("s.paths").alias("path"), F.col("s.vals").alias("vals"))
+    large = written(sizes.where(F.col("count") > local_rows), "large-nodes")
+    nodes = one.select(F.explode("s.paths").alias("path"), F.col("s.vals").alias("vals"), "sig", F.lit(None).cast("bigint").alias("label"))
     links = []
-    rounds = ROUNDS
-    while True:
-        # nodes too large for one task branch once more across the cluster; most often there is none
-        more = rounds > 0 and not large.isEmpty()
+    for step in range(ROUNDS + 1):
+        # nodes too large for one task; most often there is none
+        more = not large.isEmpty()
         here = nodes.join(large, "path", "left_anti") if more else nodes
-        links.append(written(here.repartition(buckets, "path").mapInArrow(below, _EDGES), "links"))
-        if not more:  # all nodes were compared, in the last round the large ones too
+        links.append(written(here.select("path", "vals").repartition(buckets, "path").mapInArrow(below, _EDGES), "links"))
+        if not more:
+            break
+        most = large.agg(F.max("count")).first()[0]
+        parts = -(-most // local_rows)  # of a node at most: no task has a node whole
+        part = F.pmod(F.xxhash64("sig", F.lit(7)), F.least(F.lit(parts), F.ceil(F.col("count") / local_rows))).cast("int")
+        inside = written(nodes.join(large, "path").withColumn("part", part).select("path", "vals", "sig", "label", "part", "count"), "nodes")
+        if step == ROUNDS:  # every part against every part
+            other = F.explode(F.sequence(F.lit(0), F.ceil(F.col("count") / local_rows).cast("int") - 1))
+            pairs = inside.withColumn("other", other).select("path", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "vals", "sig")
+            links.append(written(pairs.groupBy("path", "i", "j").applyInArrow(in_block, _EDGES), "links"))
             break
-        nodes = written(nodes.join(large, "path", "left_semi").mapInArrow(branch, "path bigint, vals binary"), "nodes")
-        before, large = large, written(nodes.groupBy("path").count().where(F.col("count") > local_rows).select("path"), "large-nodes")
-        # branching doesn't make them smaller: near copies of each other
-        rounds = 0 if large.count() >= before.count() * 2 else rounds - 1
+        # one member of each node, best one that isn't connected to others yet
+        rank = F.struct(F.col("label").isNotNull(), F.xxhash64("sig", F.lit(step)), "sig")
+        first = inside.groupBy("path").agg(F.min_by(F.struct("vals", "sig"), rank).alias("f"), F.first("count").alias("count"))
+        first = first.select("path", F.col("f.vals").alias("first"), F.col("f.sig").alias("first_sig"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("count") / local_rows).cast("int") - 1)).alias("part"))
+        kind = "path bigint, vals binary, sig bigint, label bigint, first_sig bigint, alike boolean"
+        met = written(inside.join(first, ["path", "part"]).select("path", "vals", "sig", "label", "first", "first_sig").mapInArrow(like_first, kind), "met")
+        links.append(met.where("alike and sig <> first_sig").select(F.col("first_sig").alias("a"), F.col("sig").alias("b")))
+        # labels that members like the first have are one with it now: at most as many as there were rounds
+        merged = met.where("alike and label is not null").groupBy("path").agg(F.collect_set("label").alias("labels"))
+        salted = merged.select("path", "labels", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        met = met.withColumn("part", F.pmod(F.xxhash64("sig", F.lit(7)), F.lit(parts)).cast("int")).join(salted, ["path", "part"], "left")
+        label = F.when(F.col("alike") | F.coalesce(F.array_contains("labels", F.col("label")), F.lit(False)), F.col("first_sig")).otherwise(F.col("label"))
+        nodes = written(met.select("path", "vals", "sig", label.alias("label")).mapInArrow(branch, _NODE), "nodes")
+        # a node whose members all have one label has nothing left to compare
+        found = nodes.groupBy("path").agg(F.count("*").alias("count"), F.count("label").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        found = written(found.where("n < count or low <> high").select("path", "count"), "open-nodes")
+        nodes = nodes.join(found.select("path"), "path", "left_semi")
+        large = written(found.where(F.col("count") > local_rows), "large-nodes")
     edges = links[0]
     for found in links[1:]:
         edges = edges.unionByName(found)
@@ -290,8 +333,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     in at least threshold of the coordinates and the share that chance adds, which
     estimates the Jaccard similarity of their word pairs; a group is what such pairs connect. group_id is the least doc_id of the group, and
     the document that has it is kept: null ids come first, equal ids are told apart
-    by a hash of the text, and of repeated rows each has a row here, all kept or none. Null texts and
-    texts without words are in no group. Other columns are not read.
+    by a hash of the text, and of repeated rows each has a row here, all kept or none. Null and
+    blank texts are in no group; texts of symbols alone are grouped if they are equal. Other columns are not read.
     """
     found = duplicates(docs, **options)
     null = F.lit(-(2**63))

@@ -357,8 +357,8 @@ def _model(proto: bytes) -> PieceModel:
     return _loaded[key]
 
 
-def _encoded(model: PieceModel, text: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Lists of ids, and which texts come back from them byte for byte."""
+def _encoded(model: PieceModel, text: pa.Array) -> pa.Array:
+    """Lists of ids."""
     none = pc.is_null(text).to_numpy(zero_copy_only=False)
     text = pc.fill_null(text, "")
     plain = np.zeros(len(text), bool)
@@ -384,11 +384,11 @@ def _encoded(model: PieceModel, text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     head_ids, head_size = model.encode_words(head_words)
     line_break = model.byte_ids.get(10, 0)
     broken = np.insert(head_ids, np.cumsum(head_size) - head_size, line_break) if len(heads) else head_ids
-    strings = [" " + w for w in coded.dictionary.to_pylist()] + ["\n" + w for w in head_words.to_pylist()]
+    known = len(coded.dictionary) + len(head_words)
     parts, counts = [ids, broken.astype(np.int32)], [size, head_size + 1]
     if not plain.all():
         number: dict[str, int] = {}
-        slow = [(k, [number.setdefault(s, len(strings) + len(number)) for s in model.segments(text[k].as_py())]) for k in np.flatnonzero(~plain).tolist()]
+        slow = [(k, [number.setdefault(s, known + len(number)) for s in model.segments(text[k].as_py())]) for k in np.flatnonzero(~plain).tolist()]
         lengths[[k for k, _ in slow]] = [len(own) for _, own in slow]
         ends = np.cumsum(lengths)
         whole = np.empty(int(ends[-1]), np.int64)
@@ -397,32 +397,42 @@ def _encoded(model: PieceModel, text: pa.Array) -> tuple[pa.Array, np.ndarray]:
             whole[ends[k] - len(own) : ends[k]] = own
         index = whole
         rest = [model.encode_segment(s) for s in number]
-        strings += [s.replace(SPACE, " ") for s in number]
         parts.append(np.fromiter(chain.from_iterable(rest), np.int32))
         counts.append(np.fromiter(map(len, rest), np.int64, len(rest)))
     flat, size = np.concatenate(parts), np.concatenate(counts)
     start = np.cumsum(size) - size
-    # decoding the ids of a segment gives the segment: then the ids of a text give the text
-    parts_of = [model.bytes_of[i] for i in flat.tolist()]
-    joined = b"".join(parts_of)
-    good = np.ones(len(size), bool)
-    if joined != "".join(strings).encode():
-        good = np.fromiter((b"".join(parts_of[a : a + n]) == s.encode() for a, n, s in zip(start.tolist(), size.tolist(), strings, strict=True)), bool, len(size))
     each = size[index]
     begins = np.cumsum(each) - each
     out = flat[np.arange(int(each.sum())) - np.repeat(begins - start[index], each)]
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     ends = np.concatenate([[0], np.cumsum(each)])[bounds].astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(none, False)) if none.any() else pa.array(ends), pa.array(out))
-    literal = pc.match_substring(text, SPACE).to_numpy(zero_copy_only=False)  # comes back as a space
-    return lists, (per_text((~good[index]).astype(np.int64), bounds) == 0) & ~literal
+    return lists
+
+
+def _decoded(model: PieceModel, lists: pa.Array) -> pa.Array:
+    """The bytes of lists of ids, without the space that encoding puts first."""
+    found = pa.array(model.bytes_of, pa.large_binary()).take(lists.flatten())
+    ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+    data = np.frombuffer(found.buffers()[2] or b"", np.uint8)[: ends[-1]]
+    none = pc.is_null(lists).to_numpy(zero_copy_only=False)
+    n = np.where(none, 0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    bounds = ends[np.concatenate([[0], np.cumsum(n, dtype=np.int64)])]
+    if model.dummy_prefix and len(data):
+        first = bounds[:-1][bounds[1:] > bounds[:-1]]
+        first = first[data[first] == 32]
+        kept = np.ones(len(data), bool)
+        kept[first] = False
+        data, bounds = data[kept], bounds - np.searchsorted(first, bounds)
+    mask = pa.array(~none).buffers()[1] if none.any() else None
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [mask, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """Ids of each document: doc_id, ids, n_ids, round_trip.
 
-    round_trip tells whether the ids decode to the text byte for byte: always, but
-    for texts that hold U+2581, which the model takes for a space. A null text has
+    The ids of each text are decoded again; round_trip tells whether that gives the text
+    byte for byte: always, but for texts that hold U+2581, which the model takes for a space. A null text has
     null ids, count and round_trip; an empty one no ids, and it does come back. Each
     row of the input gives one row, repeated rows and null ids too; other columns
     are not read. Texts are encoded whole, however long.
@@ -435,9 +445,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         pieces = _model(shared.value)
         for batch in chunks(batches, size=4 << 20):
             text = batch.column("text")
-            ids, good = _encoded(pieces, text)
-            none = pc.is_null(text).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pc.list_value_length(ids), pa.array(good, mask=none)], ["doc_id", "ids", "n_ids", "round_trip"])
+            ids = _encoded(pieces, text)
+            same = pc.equal(_decoded(pieces, ids), text.cast(pa.large_string()).cast(pa.large_binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pc.list_value_length(ids), same], ["doc_id", "ids", "n_ids", "round_trip"])
 
     schema = "doc_id bigint, ids array<int>, n_ids int, round_trip boolean"
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
@@ -457,7 +467,10 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _model(shared.value)
         for batch in batches:
-            texts = [None if x is None else pieces.decode(x) for x in batch.column(ids).to_pylist()]
+            own = batch.column(ids)
+            if own.flatten().null_count:
+                raise ValueError("an id is null")
+            texts = [None if x is None else x.decode("utf-8", "replace") for x in _decoded(pieces, own).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
     return encoded.mapInArrow(run, schema)

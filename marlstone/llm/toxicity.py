@@ -1,6 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Only confirmed toxic documents and documents of unknown kind are learned from. The
+Only confirmed toxic documents and documents of unknown kind are learned from: of the
+labelled documents those labelled toxic, and a sample of all of them with their labels
+set aside, so that the share of toxic ones among them is the prior. The
 risk of a classifier g is p * E+[l(g)] + max(0, Eu[l(-g)] - p * E+[l(-g)]), where p
 is the share of toxic documents (Kiryo et al., 2017); l is the sigmoid loss and g is
 linear in hashed words and their beginnings, so that inflected forms share weight.
@@ -17,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, hashes, normal_words, per_text
+from marlstone.llm.common import chunks, distinct, hashes, normal_words
 
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
 SAMPLE_TOXIC = 2_000  # confirmed toxic documents that are learned from, at most
-SAMPLE_UNLABELLED = 4_000  # about as many documents of unknown kind are learned from
+SAMPLE_UNLABELLED = 4_000  # labelled documents that are learned from as of unknown kind, about, if there are more
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,7 @@ def _features(words: list[str]) -> np.ndarray:
 def _distinct(index: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts' words, each once for a text, and where each text's begin."""
     n = np.int64(index.max(initial=0)) + 1
-    both = np.unique(np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets)) * n + index)
+    both = distinct(np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets)) * n + index)
     return both % n, np.searchsorted(both, np.arange(len(offsets), dtype=np.int64) * n)
 
 
@@ -91,17 +93,35 @@ def _design(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(features), np.concatenate(values), row
 
 
-def _telling(feature: np.ndarray, row: np.ndarray, positive: np.ndarray, least: float) -> np.ndarray:
-    """Features whose share among confirmed rows differs from that among unlabelled rows by so many deviations."""
+def _telling(feature: np.ndarray, row: np.ndarray, positive: np.ndarray, least: float, least_rows: int) -> np.ndarray:
+    """Features of at least so many rows whose share among confirmed rows differs from that among unlabelled rows by so many deviations."""
     n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
     of_p = np.bincount(feature[positive[row]], minlength=1 << BITS)
     of_u = np.bincount(feature[~positive[row]], minlength=1 << BITS)
     mean = (of_p + of_u + 1) / (n_p + n_u + 2)
     z = np.abs(of_p / n_p - of_u / n_u) / np.sqrt(mean * (1 - mean) * (1 / n_p + 1 / n_u))
-    return np.flatnonzero((z >= least) & (of_p + of_u >= 4))
+    return np.flatnonzero((z >= least) & (of_p + of_u >= least_rows))
 
 
-def _fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int, rate: float, decay: float, least: float) -> tuple[np.ndarray, float]:
+def risk(g: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of scores with the sigmoid loss l(z) = 1 / (1 + exp(z)), and the way down for each row's score.
+
+    Where the risk of negatives, Eu[l(-g)] - p E+[l(-g)], is negative, the way is that of its
+    opposite: back from what is overfitted.
+    """
+    n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
+    s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+    slope = s * (1 - s)
+    of_p = prior * (1 - s[positive]).sum() / n_p
+    negative = s[~positive].sum() / n_u - prior * s[positive].sum() / n_p
+    if negative >= 0 or positive.all():
+        return of_p + max(0.0, negative), np.where(positive, -2 * prior * slope / n_p, slope / n_u)
+    return of_p, np.where(positive, prior * slope / n_p, -slope / n_u)
+
+
+def _fit(
+    texts: list[str], toxic: np.ndarray, prior: float, rounds: int, rate: float, decay: float, least: float, least_rows: int
+) -> tuple[np.ndarray, float]:
     """Weights and bias of the least non-negative risk, by Adam with a rate that falls to nothing.
 
     The sigmoid loss has poor minima far from a good start: the first rounds tell
@@ -110,7 +130,7 @@ def _fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int, rate: f
     """
     feature, value, row = _design(texts)
     positive = toxic.astype(bool)
-    chosen = _telling(feature, row, positive, least)
+    chosen = _telling(feature, row, positive, least, least_rows)
     number = np.full(1 << BITS, -1)
     number[chosen] = np.arange(len(chosen))
     keep = number[feature] >= 0
@@ -123,14 +143,11 @@ def _fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int, rate: f
         bias += 0.0 if warm else 1.0
         for t in range(1, rounds + 1):
             g = np.bincount(row, weights=w[feature] * value, minlength=n) + bias
-            s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            slope = s * (1 - s)
             if warm:
+                s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
                 d = np.where(positive, prior * (s - 1) / n_p, s / n_u)
-            elif positive.all() or s[~positive].mean() >= prior * s[positive].mean():  # p E+[l(g)] + Eu[l(-g)] - p E+[l(-g)]
-                d = np.where(positive, -2 * prior * slope / n_p, slope / n_u)
-            else:  # the part that can't be negative is: step back from what is overfitted
-                d = np.where(positive, prior * slope / n_p, -slope / n_u)
+            else:
+                _, d = risk(g, positive, prior)
             grad = np.bincount(feature, weights=d[row] * value, minlength=k) + decay * w
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             mb, vb = 0.9 * mb + 0.1 * d.sum(), 0.999 * vb + 0.001 * d.sum() ** 2
@@ -152,24 +169,26 @@ def fit(
     rate: float = 0.1,
     decay: float = 1e-5,
     least: float = 4.0,
+    least_rows: int = 4,
 ) -> Model | None:
-    """A classifier from documents confirmed as toxic and a sample of all documents.
+    """A classifier from labelled documents: those confirmed as toxic, and others taken as of unknown kind.
 
-    sample_toxic and sample_unlabelled bound what one task learns from; the rows are
-    taken in the order of a hash of doc_id. The prior is the share of toxic ones among all
-    labels unless given. Null labels, ids and texts are left out; None if no toxic
-    document is left.
+    sample_toxic and sample_unlabelled bound the labelled rows that one task learns from; those
+    with the least hashes of doc_id are taken. The prior is the share of toxic ones among all
+    labels unless given. A feature has a weight if its shares among the two kinds differ by
+    least deviations and it is in at least least_rows rows. Null labels, ids and texts
+    are left out; of repeated labels one counts; None if no toxic document is left.
     """
     share = labels.where("toxic is not null").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     prior = min(max(share or 0.0, 1e-3), 0.9) if prior is None else prior
     confirmed = labels.where("toxic = 1 and doc_id is not null").select("doc_id").distinct()
     confirmed = confirmed.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample_toxic)
-    source = docs.select("doc_id", "text").where("text is not null")
-    total = source.count()
-    # at most sample_toxic ids: a few KB
-    found = source.join(F.broadcast(confirmed), "doc_id").select(F.lit(1).alias("toxic"), "text", "doc_id")
-    part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) < int(sample_unlabelled / max(total, 1) * (1 << 30))
-    rows = found.unionByName(source.where(part).select(F.lit(0).alias("toxic"), "text", "doc_id"))
+    unknown = labels.where("doc_id is not null").select("doc_id").distinct()
+    part = min(1.0, sample_unlabelled / max(unknown.count(), 1))
+    unknown = unknown.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) < int(np.ceil(part * (1 << 30))))
+    chosen = confirmed.select("doc_id", F.lit(1).alias("toxic")).unionByName(unknown.select("doc_id", F.lit(0).alias("toxic")))
+    # at most about sample_toxic + sample_unlabelled ids: under 100 KB
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (rows := list(batches)):
@@ -177,7 +196,7 @@ def fit(
         table = pa.Table.from_batches(rows).sort_by([("toxic", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
         toxic = table["toxic"].to_numpy()
         if toxic.any():
-            w, bias = _fit(table["text"].to_pylist(), toxic, prior, rounds, rate, decay, least)
+            w, bias = _fit(table["text"].to_pylist(), toxic, prior, rounds, rate, decay, least, least_rows)
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([bias])], ["weights", "bias"])
 
     learned = rows.selectExpr("cast(toxic as int) toxic", "text", "cast(doc_id as bigint) doc_id").repartition(1)
@@ -207,7 +226,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs, with all their columns, that score() doesn't call toxic."""
+    """The rows of docs, with all their columns, that score() doesn't call toxic.
+
+    Rows with a null text stay, and without a model all rows do; empty and wordless texts have
+    the bias as their score, repeated rows the same one. Columns of any name are passed on.
+    """
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)

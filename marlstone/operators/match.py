@@ -3,6 +3,8 @@
 Both tables have row_id, recommendation, class and LOE; row_id is the order in which the
 first of equals wins. Each stage sees only what the stages before left, and scores
 distinct texts once. No side is broadcast by order: Spark does so where its size allows.
+Where a scorer allows it, only pairs that can reach the threshold are made, by equi-joins
+that lose none; another scorer sees all pairs of distinct texts, as only it can tell.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.functions.fuzzy import normal_expr, token_sort_expr, weighted_ratio
+from marlstone.functions.fuzzy import edit_ratio, normal_expr, token_jaccard, token_sort_expr, weighted_ratio
 from marlstone.functions.text import choice_kind, same_folded
 
 Scorer = Callable[[Column, Column], Column]
@@ -67,9 +69,17 @@ def _distinct_pairs(ext: DataFrame, first: DataFrame, text: Column) -> DataFrame
 
 
 def fuzzy_top(ext: DataFrame, gt: DataFrame, scorer: Scorer = weighted_ratio, limit: int = CANDIDATES, by: str = "recommendation") -> DataFrame:
-    """q, rank, choice, gt_row_id and score: for each distinct lower-case text its best rows, ties by row_id."""
+    """q, rank, choice, gt_row_id and score: for each distinct lower-case text its best rows, ties by row_id.
+
+    Every pair of distinct texts is scored. Of a text's choices only the best limit, and of
+    a choice's rows only the first limit can be among the best rows, so no more are joined.
+    """
     texts = gt.where(F.col(by).isNotNull()).select(F.lower(by).alias("choice"), F.col("row_id").alias("gt_row_id"))
-    scored = _distinct_pairs(ext, texts.select("choice").distinct(), F.lower(by)).withColumn("score", scorer(F.col("q"), F.col("choice")))
+    first = texts.groupBy("choice").agg(F.min("gt_row_id").alias("first"))
+    scored = _distinct_pairs(ext, first, F.lower(by)).withColumn("score", scorer(F.col("q"), F.col("choice")))
+    within = lambda df, key, *order: df.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("r") <= limit).drop("r")
+    scored = within(scored, "q", F.desc("score"), F.col("first")).drop("first")
+    texts = within(texts, "choice", F.col("gt_row_id"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "gt_row_id")
     ranked = scored.join(texts, "choice").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
     return ranked.select("q", "rank", "choice", "gt_row_id", F.rint("score").alias("score"))
@@ -77,12 +87,51 @@ def fuzzy_top(ext: DataFrame, gt: DataFrame, scorer: Scorer = weighted_ratio, li
 
 def fuzzy_matches(ext: DataFrame, gt: DataFrame, scorer: Scorer = weighted_ratio, threshold: float = FUZZY) -> DataFrame:
     """Records whose best choice scores at least the threshold once rounded; the choice's text in lower case."""
+    if scorer is weighted_ratio and threshold >= FUZZY:
+        return blocked_fuzzy_matches(ext, gt, threshold)
     first = first_by(gt, F.lower("recommendation"))
-    scored = _distinct_pairs(ext, first, F.lower("recommendation")).withColumn("score", scorer(F.col("q"), F.col("k")))
+    if scorer is edit_ratio and 50 < threshold <= 100:
+        pairs = _near_in_edits(ext, first, threshold)
+    else:
+        pairs = _distinct_pairs(ext, first, F.lower("recommendation"))
+    scored = pairs.withColumn("score", scorer(F.col("q"), F.col("k")))
     best = scored.groupBy("q").agg(F.max_by(F.struct("k", "g", "score"), F.struct("score", -F.col("g.row_id"))).alias("b"))
     return _accepted(ext, best, threshold)
 
 
+def _near_in_edits(ext: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose edit ratio can reach the threshold once rounded.
+
+    Of n characters in the longer text at most share * n are edited, so the shorter one
+    has at least (1 - share) * n: lengths meet in buckets of that width or in neighbouring ones.
+    """
+    share = (100.5 - threshold) / 100
+    width = F.log(F.lit(1 / (1 - share)) + F.lit(1e-9))
+    bucket = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / width)
+    left = ext.where("recommendation is not null").select(F.lower("recommendation").alias("q")).distinct()
+    left = left.withColumn("mst_b", F.explode(F.array(bucket("q") - 1, bucket("q"), bucket("q") + 1)))
+    pairs = left.join(first.withColumn("mst_b", bucket("k")), "mst_b").drop("mst_b")
+    return pairs.where(F.expr(f"levenshtein(q, k, cast(ceil({share} * greatest(length(q), length(k))) as int)) >= 0"))
+
+
+def _sharing_tokens(ext: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose token sets can have a Jaccard similarity of the threshold: they share one of the rarest tokens of each.
+
+    Of n tokens the rarest n - ceil(threshold * n) + 1, in one order for all texts, are enough.
+    """
+    tokens = lambda c: F.array_distinct(F.split(c, " "))
+    left = ext.where("recommendation is not null").select(F.col("recommendation").alias("q")).distinct()
+    known = first.select(F.explode(tokens("k")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+    def rarest(df: DataFrame, c: str) -> DataFrame:
+        listed = df.select(c, F.explode(tokens(c)).alias("w")).join(known, "w", "left").groupBy(c)
+        listed = listed.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("ws"))
+        size = F.size("ws") - F.ceil(F.lit(threshold - 1e-6) * F.size("ws")).cast("int") + 1
+        return listed.select(c, F.explode(F.slice("ws", 1, F.least(size, F.size("ws")))).alias("x")).select(c, F.col("x.w").alias("w"))
+
+    return rarest(left, "q").join(rarest(first, "k"), "w").select("q", "k").distinct().join(first, "k")
+
+
 def _accepted(ext: DataFrame, best: DataFrame, threshold: float) -> DataFrame:
     found = ext.join(best, F.lower("recommendation") == F.col("q")).where(F.rint("b.score") >= threshold).withColumn("g", F.col("b.g"))
     return _result(found, "fuzzy", F.col("b.k"), F.rint("b.score"))
@@ -119,17 +168,21 @@ def blocked_fuzzy_matches(ext: DataFrame, gt: DataFrame, threshold: float = FUZZ
     return _accepted(ext, best, threshold)
 
 
-def semantic_best(ext: DataFrame, gt: DataFrame, scorer: Scorer) -> DataFrame:
-    """q and b (k, g, sim): for each distinct text the row of the greatest similarity, the first of equals. NaN never wins."""
+def semantic_best(ext: DataFrame, gt: DataFrame, scorer: Scorer, threshold: float = 0.0) -> DataFrame:
+    """q and b (k, g, sim): for each distinct text the row of the greatest similarity, the first of equals. NaN never wins.
+
+    Texts whose best is below the threshold may be left out.
+    """
     first = first_by(gt, F.col("recommendation"))
-    scored = _distinct_pairs(ext, first, F.col("recommendation")).withColumn("sim", scorer(F.col("q"), F.col("k")).cast("double"))
+    pairs = _sharing_tokens(ext, first, threshold) if scorer is token_jaccard and threshold > 0 else _distinct_pairs(ext, first, F.col("recommendation"))
+    scored = pairs.withColumn("sim", scorer(F.col("q"), F.col("k")).cast("double"))
     scored = scored.where("sim is not null and not isnan(sim)")
     return scored.groupBy("q").agg(F.max_by(F.struct("k", "g", "sim"), F.struct("sim", -F.col("g.row_id"))).alias("b"))
 
 
 def semantic_matches(ext: DataFrame, gt: DataFrame, scorer: Scorer, threshold: float = SEMANTIC) -> DataFrame:
     """Records whose best similarity reaches the threshold; score is 100 times it, the text that of the ground truth."""
-    found = ext.join(semantic_best(ext, gt, scorer), F.col("recommendation") == F.col("q")).where(F.col("b.sim") >= threshold).withColumn("g", F.col("b.g"))
+    found = ext.join(semantic_best(ext, gt, scorer, threshold), F.col("recommendation") == F.col("q")).where(F.col("b.sim") >= threshold).withColumn("g", F.col("b.g"))
     return _result(found, "semantic", F.col("b.k"), F.col("b.sim") * 100)
 
 
@@ -188,16 +241,18 @@ def _by_length(rows: Sequence[dict[str, Any]]) -> dict[int, tuple[np.ndarray, np
 
 
 def adjudicated_matches(ext: DataFrame, gt: DataFrame, candidates: DataFrame, adjudications: DataFrame) -> DataFrame:
-    """Records for which somebody chose a candidate: adjudications has row_id and choice, the candidate's number from 0.
+    """Records that somebody judged: adjudications has row_id and choice, the candidate's number from 0.
 
-    The number of candidates means none of them; whatever is no such number is passed over.
+    The number of candidates means none of them: such a record has no match, and
+    manual_validation tells it from those never judged. Whatever is no such number is passed over.
     """
     listed = candidates.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "choice", "score"))).alias("options"))
-    chosen = ext.join(adjudications.select("row_id", "choice"), "row_id").join(listed, F.lower("recommendation") == F.col("q"))
-    chosen = chosen.where(choice_kind(F.col("choice"), F.size("options")) == "accept")
-    chosen = chosen.withColumn("o", F.try_element_at("options", (F.col("choice").try_cast("int") + 1)))
+    judged = ext.join(adjudications.select("row_id", "choice"), "row_id").join(listed, F.lower("recommendation") == F.col("q"))
+    judged = judged.withColumn("kind", choice_kind(F.col("choice"), F.size("options")))
+    chosen = judged.where("kind = 'accept'").withColumn("o", F.try_element_at("options", (F.col("choice").try_cast("int") + 1)))
     found = chosen.join(first_by(gt, F.lower("recommendation")), F.col("o.choice") == F.col("k"))
-    return _result(found, "manual", F.col("o.choice"), F.col("o.score"), manual=True)
+    none = unmatched(judged.where("kind = 'none'")).withColumn("manual_validation", F.lit(True))
+    return _result(found, "manual", F.col("o.choice"), F.col("o.score"), manual=True).unionByName(none)
 
 
 def unmatched(ext: DataFrame) -> DataFrame:
@@ -244,3 +299,28 @@ def missing(gt: DataFrame, ext: DataFrame) -> DataFrame:
     """Rows of the ground truth, repeated ones too, whose text is in no record; null is found by null."""
     texts = ext.select(F.col("recommendation").alias("mst_r")).distinct()
     return gt.join(texts, F.col("recommendation").eqNullSafe(F.col("mst_r")), "left_anti")
+
+
+def containing(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str) -> DataFrame:
+    """The distinct (key, item_key) of texts that hold an item character by character.
+
+    Between blanks, all of an item but its first and last token stands in a text as a token,
+    so texts and items join on the item's rarest of those, over all texts, and
+    are then compared. An item of fewer than three tokens is looked for in every text.
+    """
+    asked = items.select(F.col(item_key).alias("mst_i"), F.col(item).alias("mst_t")).where("mst_t is not null").distinct()
+    tokens = F.array_distinct(F.slice(F.split("mst_t", " ", -1), 2, F.greatest(F.size(F.split("mst_t", " ", -1)) - 2, F.lit(0))))
+    asked = asked.withColumn("mst_ws", tokens)
+    given = docs.select(F.col(key).alias("mst_k"), F.col(text).alias("mst_d"), F.xxhash64(text).alias("mst_h")).where("mst_d is not null")
+    of_texts = given.select("mst_h", F.explode(F.array_distinct(F.split("mst_d", " ", -1))).alias("mst_w"))
+    wanted = asked.select(F.explode("mst_ws").alias("mst_w")).distinct()
+    known = of_texts.select("mst_w").join(wanted, "mst_w", "left_semi").groupBy("mst_w").agg(F.count("*").alias("n"))
+    # an item with a token that no text has is in none
+    each = asked.select("mst_i", "mst_t", F.explode("mst_ws").alias("mst_w")).join(known, "mst_w")
+    rarest = each.groupBy("mst_i", "mst_t").agg(F.min(F.struct("n", "mst_w")).alias("r")).select("mst_i", "mst_t", F.col("r.mst_w").alias("mst_w"))
+    maybe = of_texts.join(rarest, "mst_w").select("mst_h", "mst_i", "mst_t").distinct()  # no text moves with its tokens
+    met = given.join(maybe, "mst_h").where(F.col("mst_d").contains(F.col("mst_t"))).select("mst_k", "mst_i")
+    short = asked.where(F.size("mst_ws") == 0).select("mst_i", "mst_t")
+    if not short.isEmpty():
+        met = met.unionByName(given.join(short, F.col("mst_d").contains(F.col("mst_t"))).select("mst_k", "mst_i"))
+    return met.distinct().select(F.col("mst_k").alias(key), F.col("mst_i").alias(item_key))

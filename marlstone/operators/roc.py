@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 POSITIVE = 3.0
-BUCKETS = 64
+BUCKETS = 256
 
 
 def binarise(score: Column, least: float = POSITIVE) -> Column:
@@ -38,7 +38,7 @@ def counts(scores: DataFrame, least: float = POSITIVE) -> DataFrame:
     y = binarise(F.col("score"), least)
     each = usable(scores).groupBy("model", "pred").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
     cuts = [k / BUCKETS for k in range(1, BUCKETS)]
-    bounds = each.groupBy("model").agg(F.array_distinct(F.percentile_approx("pred", cuts, 2000)).alias("cuts"))
+    bounds = each.groupBy("model").agg(F.array_distinct(F.percentile_approx("pred", cuts, 10_000)).alias("cuts"))
     each = each.join(bounds, "model").withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("pred")))).drop("cuts")
     totals = each.groupBy("model", "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     before = Window.partitionBy("model").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

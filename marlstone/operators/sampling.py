@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _PRIME, _SIZE = 2654435761, 1 << 32
+_RANGES = 1 << 16  # a row for each is sent to all tasks: 1 MB; a billion rows make ranges of 15,000
 
 
 def order_of(key: str, seed: int = 42) -> Column:
@@ -18,11 +19,11 @@ def order_of(key: str, seed: int = 42) -> Column:
 
 
 def _ranked(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Adds mst_at, from 1. Positions are counted in 256 ranges of the order, side by side, and carried over."""
-    placed = df.withColumn("mst_o", order_of(key, seed)).withColumn("mst_b", F.floor(F.col("mst_o") / (_SIZE // 256)).cast("int"))
+    """Adds mst_at, from 1. Positions are counted in ranges of the order, side by side, and carried over."""
+    placed = df.withColumn("mst_o", order_of(key, seed)).withColumn("mst_b", F.floor(F.col("mst_o") / (_SIZE // _RANGES)).cast("int"))
     sizes = placed.groupBy("mst_b").agg(F.count("*").alias("c"))
     before = Window.orderBy("mst_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("mst_b").alias("mst_r"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("mst_c"))  # 256 rows at most
+    sizes = sizes.select(F.col("mst_b").alias("mst_r"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("mst_c"))  # a row for each range
     inside = Window.partitionBy("mst_b").orderBy("mst_o", key, F.xxhash64(*df.columns))
     joined = placed.join(F.broadcast(sizes), placed.mst_b.eqNullSafe(sizes.mst_r))
     return joined.withColumn("mst_at", F.row_number().over(inside) + F.col("mst_c")).drop("mst_o", "mst_b", "mst_r", "mst_c")

@@ -1,7 +1,7 @@
 """The reference operators as queries over the driver's tables, each with SQL for the same rows.
 
-Stand-ins, always whole tables: labelled documents are the extracted records and all
-documents the ground truth; parts with their names written in five ways are the records
+Stand-ins, always whole tables: labelled documents are the extracted records and all other
+documents the ground truth, so that only copies match; parts with their names written in five ways are the records
 of the cascade and parts its ground truth; labels joined with documents are scored pairs.
 """
 
@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import csv_text, fuzzy, text
-from marlstone.models import melt, wide
+from marlstone.models import NATIVE, melt, wide
 from marlstone.operators import match, metrics, roc, sampling
 from marlstone.plans import extraction
-from marlstone.plans.evaluation import evaluate_extraction
+from marlstone.plans.evaluation import evaluate_extraction, evaluate_models
 from marlstone.sources import pages, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +43,7 @@ def _records(docs: DataFrame) -> DataFrame:
 
 
 def _gt(spark: SparkSession, sf: str) -> DataFrame:
-    return _records(_t(spark, sf, "documents"))
+    return _records(_t(spark, sf, "documents").join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti"))
 
 
 def _ext(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +51,8 @@ def _ext(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _DOC_SQL = """
-    gt AS (SELECT doc_id AS row_id, text AS recommendation, lang AS class, source AS LOE FROM documents),
+    gt AS (SELECT doc_id AS row_id, text AS recommendation, lang AS class, source AS LOE FROM documents d
+           WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
     ext AS (SELECT d.doc_id AS row_id, d.text AS recommendation, d.lang AS class, d.source AS LOE
             FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
     first AS (SELECT * FROM gt QUALIFY row_number() OVER (PARTITION BY lower(recommendation) ORDER BY row_id) = 1),
@@ -111,6 +112,44 @@ _PART_SQL = """
                        CASE WHEN match_stage <> 'none' THEN lower(LOE) = lower(gl) END AS level_eval, match_score, match_stage
                 FROM (SELECT * FROM exact UNION ALL BY NAME SELECT * FROM fuzzy UNION ALL BY NAME SELECT * FROM semantic UNION ALL BY NAME SELECT * FROM rest))"""
 
+# the weighted ratio of all pairs (q, k) in wanted: the comparisons that it takes the best of, and the longest
+# common subsequence of each by one step of bits for each character of the right string; for up to 100 ASCII characters
+_WEIGHTED_SQL = r"""
+    plain AS (SELECT q, k, trim(regexp_replace(q, '[^a-z0-9]', ' ', 'g')) AS a, trim(regexp_replace(k, '[^a-z0-9]', ' ', 'g')) AS b FROM wanted),
+    tokens AS (
+      SELECT *, list_filter(string_split(a, ' '), lambda t: t <> '') AS x, list_filter(string_split(b, ' '), lambda t: t <> '') AS y,
+             greatest(length(a), length(b))::DOUBLE / least(length(a), length(b)) AS far FROM plain WHERE a <> '' AND b <> ''),
+    bags AS (
+      SELECT *, array_to_string(list_sort(x), ' ') AS sx, array_to_string(list_sort(y), ' ') AS sy,
+             array_to_string(list_sort(list_distinct(x)), ' ') AS dx, array_to_string(list_sort(list_distinct(y)), ' ') AS dy,
+             array_to_string(list_sort(list_intersect(list_distinct(x), y)), ' ') AS common,
+             array_to_string(list_sort(list_filter(list_distinct(x), lambda t: NOT list_contains(y, t))), ' ') AS lx,
+             array_to_string(list_sort(list_filter(list_distinct(y), lambda t: NOT list_contains(x, t))), ' ') AS ly,
+             CASE WHEN far < 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS scale FROM tokens),
+    comparisons AS (
+      SELECT q, k, 1.0::DOUBLE AS f, a AS s, b AS t FROM bags
+      UNION ALL SELECT q, k, 0.95::DOUBLE, sx, sy FROM bags WHERE far < 1.5
+      UNION ALL SELECT q, k, 0.95::DOUBLE, '=', '=' FROM bags WHERE far < 1.5 AND common <> '' AND (lx = '' OR ly = '')
+      UNION ALL SELECT q, k, 0.95::DOUBLE, trim(common || ' ' || lx), trim(common || ' ' || ly) FROM bags WHERE far < 1.5
+      UNION ALL SELECT q, k, 0.95::DOUBLE, common, trim(common || ' ' || lx) FROM bags WHERE far < 1.5 AND common <> ''
+      UNION ALL SELECT q, k, 0.95::DOUBLE, common, trim(common || ' ' || ly) FROM bags WHERE far < 1.5 AND common <> ''
+      UNION ALL SELECT q, k, 0.95::DOUBLE * scale, '=', '=' FROM bags WHERE far >= 1.5 AND common <> ''
+      UNION ALL SELECT q, k, f, s, substr(t, greatest(p, 0) + 1, least(length(t), p + length(s)) - greatest(p, 0)) FROM (
+        SELECT q, k, f, s, t, unnest(range(1 - length(s), length(t))) AS p FROM (
+          SELECT q, k, f, CASE WHEN length(s) > length(t) THEN t ELSE s END AS s, CASE WHEN length(s) > length(t) THEN s ELSE t END AS t FROM (
+            SELECT q, k, scale AS f, a AS s, b AS t FROM bags WHERE far >= 1.5
+            UNION ALL SELECT q, k, 0.95::DOUBLE * scale, sx, sy FROM bags WHERE far >= 1.5 AND common = ''
+            UNION ALL SELECT q, k, 0.95::DOUBLE * scale, dx, dy FROM bags WHERE far >= 1.5 AND common = '')))),
+    masks AS (
+      SELECT s, t, (1::HUGEINT << length(s)) - 1 AS full_, list_transform(string_split(t, ''), lambda c:
+               list_sum(list_transform(range(length(s)), lambda i: CASE WHEN s[i + 1] = c THEN 1::HUGEINT << i::INTEGER ELSE 0::HUGEINT END))::HUGEINT) AS ms
+      FROM (SELECT DISTINCT s, t FROM comparisons WHERE s <> '' AND t <> '')),
+    lcs AS (
+      SELECT s, t, length(s) - bit_count(list_reduce(list_concat([full_], ms), lambda r, m: ((r + (r & m)) | (r - (r & m))) & full_)) AS n FROM masks),
+    weighted AS (
+      SELECT q, k, max(f * coalesce(200.0::DOUBLE * n / (length(s) + length(t)), 0)) AS score
+      FROM comparisons LEFT JOIN lcs USING (s, t) GROUP BY q, k)"""
+
 _MATCH = ["row_id", "recommendation_text", "matched_text", "grade_eval", "level_eval", "match_score", "match_stage"]
 
 
@@ -128,10 +167,14 @@ def binarise_label(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "labels").select("doc_id", roc.binarise(F.col("quality") * 3 + F.col("toxic")).alias("label"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE NOT contains(lower(text), 'no recommendation found') AND contains(lower(text), 'license')")
+@query(
+    "SELECT conv_id, turn, r AS response FROM (SELECT *, CASE role WHEN 'system' THEN 'Sorry: NO Recommendation found. ' ELSE '' END || text AS r FROM conversations) "
+    "WHERE NOT contains(lower(r), 'no recommendation found')"
+)
 def sentinel_filter(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _t(spark, sf, "documents")
-    return docs.where(~text.is_empty_answer(F.col("text")) & F.lower("text").contains("license")).select("doc_id", "text")
+    said = F.when(F.col("role") == "system", "Sorry: NO Recommendation found. ").otherwise("")
+    turns = _t(spark, sf, "conversations").withColumn("response", F.concat(said, "text"))
+    return turns.where(~text.is_empty_answer(F.col("response"))).select("conv_id", "turn", "response")
 
 
 @query("SELECT doc_id, replace(replace(text, 'Released under the ', ''), 'License.', '') AS stripped FROM documents")
@@ -188,32 +231,47 @@ def html_items(spark: SparkSession, sf: str) -> DataFrame:
     return pages.html_items(_t(spark, sf, "pages"))
 
 
-@query()
+@query(
+    r"""WITH lists AS (SELECT page_id, unnest(x) AS list, generate_subscripts(x, 1) - 1 AS table_no
+                  FROM (SELECT page_id, regexp_extract_all(html, '<[uo]l[^>]*>(.*?)</[uo]l>', 1, 's') AS x FROM pages)),
+    items AS (SELECT page_id, table_no, unnest(x) AS item, generate_subscripts(x, 1) - 1 AS row_no
+              FROM (SELECT page_id, table_no, regexp_extract_all(list, '<li[^>]*>(.*?)</li>', 1, 's') AS x FROM lists))
+    SELECT page_id AS doc, CAST(table_no AS INTEGER) AS table_no, CAST(row_no AS INTEGER) AS row_no,
+           [replace(replace(replace(trim(regexp_replace(regexp_replace(item, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')] AS cells
+    FROM items"""
+)
 def html_tables(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract_tables(_t(spark, sf, "pages"), "page_id", "html")
 
 
+def _quoted(c: str) -> Column:
+    """The text as one quoted cell of one line."""
+    return F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\n"), F.lit(" ")), F.lit("'"), F.lit("''")), F.lit("'"))
+
+
 @query(
-    "SELECT conv_id AS doc, CAST(turn AS INTEGER) AS page, '0' AS id, regexp_replace(role, '.', '\\0', 'g') AS recommendation, 'strong recommendation' AS class, 'high' AS LOE "
-    "FROM conversations"
+    "SELECT conv_id AS doc, CAST(turn AS INTEGER) AS page, '0' AS id, replace(text, chr(10), ' ') AS recommendation, 'strong recommendation' AS class, 'high' AS LOE FROM conversations"
 )
 def csv_parse(spark: SparkSession, sf: str) -> DataFrame:
     turns = _t(spark, sf, "conversations")
-    answer = F.concat(F.lit("0, '"), F.col("role"), F.lit("', 'strong recommendation', 'high'"))
+    answer = F.concat(F.lit("0, "), _quoted("text"), F.lit(", 'strong recommendation', 'high'"))
     keyed = turns.select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("page"), answer.alias("answer"))
     rows = csv_text.from_csv_lines(keyed, "key", "answer")
     return rows.join(keyed.select("key", "doc", "page"), "key").select("doc", "page", "id", "recommendation", "class", "LOE")
 
 
-@query("SELECT conv_id, turn, CASE role WHEN 'system' THEN 'arity' WHEN 'user' THEN 'ok' ELSE 'malformed' END AS status FROM conversations")
+@query(
+    "SELECT conv_id, turn, CASE role WHEN 'system' THEN 'arity' WHEN 'user' THEN 'ok' ELSE 'malformed' END AS status, "
+    "CASE role WHEN 'user' THEN replace(text, chr(10), ' ') END AS recommendation FROM conversations"
+)
 def csv_skip_bad(spark: SparkSession, sf: str) -> DataFrame:
     turns = _t(spark, sf, "conversations")
-    good = "0, 'a', 'strong', 'high'"
-    answer = F.when(F.col("role") == "user", good).when(F.col("role") == "system", "0, 'a', 'b'").otherwise(good + "\n1, 'a', 'b', 'c', 'd'")
+    good, short = F.concat(F.lit("0, "), _quoted("text"), F.lit(", 'strong', 'high'")), F.concat(F.lit("0, "), _quoted("text"), F.lit(", 'b'"))
+    answer = F.when(F.col("role") == "user", good).when(F.col("role") == "system", short).otherwise(F.concat(good, F.lit("\n1, 'a', 'b', 'c', 'd'")))
     keyed = turns.select(F.concat_ws(":", "conv_id", "turn").alias("key"), answer.alias("answer"))
-    found = csv_text.parse_answers(keyed, "key", "answer").select("key", "status").distinct()
+    found = csv_text.parse_answers(keyed, "key", "answer").select("key", "status", "recommendation")
     k = F.split("key", ":")
-    return found.select(k[0].cast("bigint").alias("conv_id"), k[1].cast("bigint").alias("turn"), "status")
+    return found.select(k[0].cast("bigint").alias("conv_id"), k[1].cast("bigint").alias("turn"), "status", "recommendation")
 
 
 @query(
@@ -252,8 +310,10 @@ def missing_anti(spark: SparkSession, sf: str) -> DataFrame:
     "count(*) FILTER (grade_eval) * 100.0 / count(*) AS accuracy_grade, count(*) FILTER (level_eval) * 100.0 / count(*) AS accuracy_level FROM exact"
 )
 def eval_metrics_exact(spark: SparkSession, sf: str) -> DataFrame:
-    found = match.exact_matches(_ext(spark, sf), _gt(spark, sf))
-    return metrics.accuracies(found).select("accuracy_recommendation", "accuracy_grade", "accuracy_level")
+    ext = _ext(spark, sf)
+    found = match.exact_matches(ext, _gt(spark, sf))
+    rest = match.unmatched(ext.join(found.select("row_id"), "row_id", "left_anti"))
+    return metrics.accuracies(found.unionByName(rest)).select("accuracy_recommendation", "accuracy_grade", "accuracy_level")
 
 
 @query(
@@ -262,13 +322,17 @@ def eval_metrics_exact(spark: SparkSession, sf: str) -> DataFrame:
     "count(*) FILTER (lower(e.source) = lower(d.source)) AS n_level FROM documents e LEFT JOIN d ON lower(e.text) = lower(d.text)"
 )
 def self_eval(spark: SparkSession, sf: str) -> DataFrame:
-    gt = _gt(spark, sf)
+    gt = _records(_t(spark, sf, "documents"))
     return metrics.accuracies(match.exact_matches(gt, gt)).select("n_records", "n_matched", "n_grade", "n_level")
 
 
-@query("SELECT CAST(0 AS DOUBLE) AS accuracy_recommendation, CAST(0 AS DOUBLE) AS accuracy_grade, CAST(0 AS DOUBLE) AS accuracy_level FROM (SELECT count(*) FROM documents)")
+@query(
+    "WITH m AS (SELECT d.doc_id, n.doc_id AS matched FROM documents d LEFT JOIN labels n ON d.doc_id = n.doc_id AND d.doc_id < n.doc_id) "
+    "SELECT count(matched) * 100.0 / count(*) AS accuracy_recommendation, coalesce(count(matched) * 100.0 / nullif(count(matched), 0), 0) AS accuracy_grade, "
+    "coalesce(count(matched) * 100.0 / nullif(count(matched), 0), 0) AS accuracy_level FROM m"
+)
 def metrics_zero_guard(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.accuracies(match.unmatched(_gt(spark, sf))).select("accuracy_recommendation", "accuracy_grade", "accuracy_level")
+    return metrics.accuracies(match.unmatched(_records(_t(spark, sf, "documents")))).select("accuracy_recommendation", "accuracy_grade", "accuracy_level")
 
 
 @query(
@@ -281,17 +345,31 @@ def levenshtein_topk(spark: SparkSession, sf: str) -> DataFrame:
     return match.fuzzy_top(_part_ext(spark, sf), _part_gt(spark, sf), lambda a, b: (F.lit(0) - F.levenshtein(a, b)).cast("double"))
 
 
-@query()
+@query(
+    f"""WITH {_PART_SQL}, wanted AS (SELECT DISTINCT lower(e.recommendation) AS q, f.k FROM ext e, firstl f), {_WEIGHTED_SQL},
+    r AS (SELECT lower(recommendation) AS choice, row_id FROM gt)
+    SELECT q, row_number() OVER w AS rank, choice, row_id AS gt_row_id, round_even(score, 0) AS score FROM weighted JOIN r ON k = choice
+    WINDOW w AS (PARTITION BY q ORDER BY weighted.score DESC, row_id) QUALIFY row_number() OVER w <= 10"""
+)
 def wratio_topk(spark: SparkSession, sf: str) -> DataFrame:
     return match.fuzzy_top(_part_ext(spark, sf), _part_gt(spark, sf))
 
 
-@query()
+_FUZZY_SQL = f"""WITH {_PART_SQL}, wanted AS (SELECT DISTINCT lower(e.recommendation) AS q, f.k FROM ext e, firstl f), {_WEIGHTED_SQL},
+    best AS (SELECT q, k, class, LOE, score FROM weighted JOIN firstl USING (k) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, row_id) = 1)
+    SELECT e.row_id, e.recommendation AS recommendation_text, e.class AS recommendation_grade, e.LOE AS recommendation_level, b.k AS matched_text,
+           lower(e.class) = lower(b.class) AS grade_eval, lower(e.LOE) = lower(b.LOE) AS level_eval, round_even(score, 0) AS match_score,
+           false AS manual_validation, 'fuzzy' AS match_stage
+    FROM ext e JOIN best b ON lower(e.recommendation) = b.q WHERE round_even(score, 0) >= 95"""
+
+
+@query(_FUZZY_SQL)
 def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
-    return match.fuzzy_matches(_part_ext(spark, sf), _part_gt(spark, sf))
+    """All pairs of distinct texts, scored."""
+    return match.fuzzy_matches(_part_ext(spark, sf), _part_gt(spark, sf), lambda a, b: fuzzy.weighted_ratio(a, b))
 
 
-@query()
+@query(_FUZZY_SQL)
 def fuzzy_match_blocked(spark: SparkSession, sf: str) -> DataFrame:
     return match.blocked_fuzzy_matches(_part_ext(spark, sf), _part_gt(spark, sf))
 
@@ -350,6 +428,8 @@ def cascade_metrics(spark: SparkSession, sf: str) -> DataFrame:
           FROM (SELECT DISTINCT lower(recommendation) AS q FROM left2) CROSS JOIN (SELECT DISTINCT choice FROM r)),
     c AS (SELECT q, row_number() OVER w AS rank, choice, round_even(score, 0) AS score FROM p JOIN r USING (choice)
           WINDOW w AS (PARTITION BY q ORDER BY score DESC, row_id) QUALIFY row_number() OVER w <= 10)
+    SELECT row_id, NULL AS matched_text, NULL AS grade_eval, NULL AS level_eval, NULL AS match_score, true AS manual_validation FROM left2 WHERE row_id % 12 = 10
+    UNION ALL
     SELECT l.row_id, c.choice AS matched_text, lower(l.class) = lower(f.class) AS grade_eval, lower(l.LOE) = lower(f.LOE) AS level_eval,
            c.score AS match_score, true AS manual_validation
     FROM left2 l JOIN c ON lower(l.recommendation) = c.q AND c.rank = l.row_id % 12 + 1 JOIN firstl f ON c.choice = f.k"""
@@ -357,20 +437,27 @@ def cascade_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def adjudicated_match(spark: SparkSession, sf: str) -> DataFrame:
     ext, gt = _part_ext(spark, sf), _part_gt(spark, sf)
     chosen = ext.select("row_id", (F.col("row_id") % 12).cast("string").alias("choice"))  # 10 is none of them, 11 is invalid
-    found = match.cascade(ext, gt, fuzzy.edit_ratio, None, chosen).where("match_stage = 'manual'")
+    found = match.cascade(ext, gt, fuzzy.edit_ratio, None, chosen).where("manual_validation")
     return found.select("row_id", "matched_text", "grade_eval", "level_eval", "match_score", "manual_validation")
 
 
 @query("SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contamination_contains(spark: SparkSession, sf: str) -> DataFrame:
-    docs, items = _t(spark, sf, "documents"), _t(spark, sf, "benchmark").withColumnRenamed("text", "item")
-    return docs.join(items, F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
+    docs, items = _t(spark, sf, "documents").select("doc_id", "text"), _t(spark, sf, "benchmark")
+    return match.containing(docs, "doc_id", "text", items, "item_id", "text")
 
 
-@query("SELECT m.pos, m.line FROM (VALUES (0, 'Recommendation accuracy: 100.00%'), (1, 'Grade accuracy: 100.00%'), (2, 'Level accuracy: 100.00%'), (3, 'Missing recommendations: 0')) m(pos, line)")
+@query(
+    f"""WITH {_PART_SQL}, m AS (
+      SELECT count(*) FILTER (match_stage <> 'none') * 100.0 / count(*) AS r, count(*) FILTER (grade_eval) * 100.0 / count(*) FILTER (match_stage <> 'none') AS g,
+             count(*) FILTER (level_eval) * 100.0 / count(*) FILTER (match_stage <> 'none') AS l,
+             (SELECT count(*) FROM gt WHERE NOT EXISTS (SELECT 1 FROM ext WHERE ext.recommendation = gt.recommendation)) AS n FROM matches)
+    SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS pos, unnest(['Recommendation accuracy: ' || printf('%.2f', r) || '%', 'Grade accuracy: ' || printf('%.2f', g) || '%',
+           'Level accuracy: ' || printf('%.2f', l) || '%', 'Missing recommendations: ' || n]) AS line FROM m"""
+)
 def console_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    n = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("row_id"), F.col("n_name").alias("recommendation"), F.col("n_name").alias("class"), F.col("n_name").alias("LOE"))
-    return sinks.metric_lines(evaluate_extraction(n, n).metrics)
+    found = evaluate_extraction(_part_ext(spark, sf), _part_gt(spark, sf), fuzzy.token_jaccard, fuzzy=fuzzy.edit_ratio)
+    return sinks.metric_lines(found.metrics)
 
 
 # models
@@ -423,6 +510,22 @@ def model_results(spark: SparkSession, sf: str) -> DataFrame:
     return roc.evaluate(_scored(spark, sf)).withColumns({c: F.round(c, 6) for c in ("pearson_correlation", "auc")})
 
 
+@query(
+    "WITH p AS (SELECT p_partkey AS row_id, p_name AS a, p_type || ' ' || p_name AS b, (p_size % 6)::DOUBLE AS score FROM part), scores AS ("
+    " SELECT x.model, x.pred, score FROM (SELECT score, unnest(["
+    "  {'model': 'edit_ratio', 'pred': round(100.0 * (1.0 - levenshtein(lower(a), lower(b)) / greatest(length(a), length(b), 1)), 6)},"
+    "  {'model': 'token_jaccard', 'pred': round(len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(string_split(a, ' ') || string_split(b, ' '))), 6)}"
+    f" ]) AS x FROM p)){_SCORES[_SCORES.index(',' + chr(10) + '    g AS'):]} "
+    "SELECT model, pearson_correlation, auc, youden_index, false AS retrained FROM pearson JOIN auc USING (model) JOIN youden USING (model)"
+)
+def model_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _t(spark, sf, "part").select(
+        F.col("p_partkey").alias("row_id"), F.col("p_name").alias("sentence1"), F.concat_ws(" ", "p_type", "p_name").alias("sentence2"), (F.col("p_size") % 6).cast("double").alias("score")
+    )
+    found, _ = evaluate_models(pairs, NATIVE[:2])
+    return found.withColumns({c: F.round(c, 6) for c in ("pearson_correlation", "auc")})
+
+
 @query("SELECT doc_id AS row_id, n_chars::DOUBLE AS n_chars, strlen(text)::DOUBLE AS n_bytes, (1 - toxic)::DOUBLE AS toxic FROM labels JOIN documents USING (doc_id)")
 def scores_wide(spark: SparkSession, sf: str) -> DataFrame:
     return wide(_scored(spark, sf), ["n_chars", "n_bytes", "toxic"])

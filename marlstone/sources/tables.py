@@ -17,17 +17,22 @@ NA_TOKENS = (
 BOTH_ENCODERS = ("FremyCompany/BioLORD-2023", "cross-encoder/stsb-distilroberta-base", "neuml/pubmedbert-base-embeddings", "sentence-transformers/all-MiniLM-L12-v2")
 BI_ENCODERS = (*BOTH_ENCODERS, "distilbert-base-nli-mean-tokens")
 CROSS_ENCODERS = BOTH_ENCODERS
-#: What models put around a CSV answer, in the order in which it is taken away: literals,
-#: and of long remarks how they begin and end.
-BOILERPLATE: tuple[str | tuple[str, str], ...] = (
+#: What models put around a CSV answer, taken away one after another, and only where it stands word by word.
+BOILERPLATE: tuple[str, ...] = (
     "Here is the extracted recommendation list in CSV format:\n\n",
-    ("\nNote: The strength of recommendations and level of confidence", "evidence available for each condition."),
-    ("\nNote that some recommendations are conditional", "confidence in estimates of effect."),
+    "\nNote: The strength of recommendations and level "
+    "of confidence in estimates of effect may vary "
+    "depending on the specific guideline document and "
+    "the context in which they are used. "
+    "These recommendations are based on the provided "
+    "text and may not reflect the full range "
+    "of recommendations or evidence available for each condition.",
+    "\nNote that some recommendations are conditional or "
+    "have a low level of confidence in estimates of effect.",
     "\nNote: The recommendations are based on the provided guideline text.",
 )
 
 
-
 def with_row_id(df: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
     """Adds numbers that grow in the order of the columns, which files don't have; with gaps.
 

@@ -135,6 +135,12 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert near_dedup.without_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_of_symbols_are_grouped_by_their_copies(spark):
+    docs = spark.createDataFrame([(1, "!!! ???"), (2, "!!! ???"), (3, "!!! ??"), (4, " "), (5, " "), (6, "words here"), (7, "--- ***")], "doc_id long, text string")
+    assert {(r.doc_id, r.group_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()} == {(1, 1, True), (2, 1, False)}
+    assert {r.doc_id for r in near_dedup.without_near_duplicates(docs).collect()} == {1, 3, 4, 5, 6, 7}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1040)]
@@ -175,6 +181,8 @@ def test_recall_of_neighbours(spark):
     assert neighbours.calibrate(points, tree, dim, 10, 0.96) < len(leaves)
     order = tree.leaves(x[0] / np.linalg.norm(x[0]), 10_000)
     assert sorted(order) == leaves
+    small = neighbours.grow(points, dim, 8, fit_rows=320)  # learned from a part, still all are found
+    assert 4 < sum(not c for c in small.children) < 60
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
@@ -182,9 +190,15 @@ def test_query_goes_through_a_tree_and_keeps_its_recall(spark, sf, monkeypatch):
     folder = f"/root/testdata/{sf}"
     df = spark.read.parquet(f"{folder}/embeddings.parquet")
     x = df.toPandas()
+    grown, visited = [], []
+    grow, calibrate = neighbours.grow, neighbours.calibrate
+    monkeypatch.setattr(neighbours, "grow", lambda *a: grown.append(grow(*a)) or grown[-1])
+    monkeypatch.setattr(neighbours, "calibrate", lambda *a: visited.append(calibrate(*a)) or visited[-1])
+    rows = queries.op3_nearest_neighbours(spark, folder).collect()
+    leaves = sum(not c for c in grown[0].children)
+    assert leaves > 10
+    assert visited[0] < leaves
     want = brute_neighbours(np.stack(x.embedding).astype(float), x.vec_id.to_numpy(), 10)
-    small = neighbours.grow(points, dim, 8, fit_rows=320)  # learned from a part, still all are found
-    assert 4 < sum(not c for c in small.children) < 60
     found: dict[int, set[int]] = {}
     for r in rows:
         found.setdefault(r.vec_id, set()).add(r.neighbour_id)
@@ -201,14 +215,6 @@ def test_equal_vectors_and_leaves_of_many_blocks(spark, monkeypatch):
         found.setdefault(r.vec_id, []).append(r.neighbour_id)
     assert found == {k: [i for i in range(4) if i != k][:3] for k in range(300)}
 
-    grown, visited = [], []
-    grow, calibrate = neighbours.grow, neighbours.calibrate
-    monkeypatch.setattr(neighbours, "grow", lambda *a: grown.append(grow(*a)) or grown[-1])
-    monkeypatch.setattr(neighbours, "calibrate", lambda *a: visited.append(calibrate(*a)) or visited[-1])
-    rows = queries.op3_nearest_neighbours(spark, folder).collect()
-    leaves = sum(not c for c in grown[0].children)
-    assert leaves > 10
-    assert visited[0] < leaves
 
 def test_awkward_vectors(spark):
     v = [1.0, 2.0]

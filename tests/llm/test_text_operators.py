@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import os
 import random
 from collections import Counter
 
@@ -151,6 +153,47 @@ def test_toxicity_learns_from_confirmed_and_unlabelled_rows(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_risk_and_its_slope_are_the_definitions():
+    rng = np.random.default_rng(3)
+
+    def brute(g, positive, prior):
+        loss = lambda z: 1 / (1 + math.exp(z))
+        p, u = [x for x, y in zip(g, positive, strict=True) if y], [x for x, y in zip(g, positive, strict=True) if not y]
+        mean = lambda xs: sum(xs) / len(xs)
+        return prior * mean([loss(x) for x in p]), mean([loss(-x) for x in u]) - prior * mean([loss(-x) for x in p])
+
+    kinds = set()
+    for shift in (-2.0, 0.0, 2.0):
+        positive = np.array([True] * 7 + [False] * 12)
+        g = rng.normal(size=19) + np.where(positive, -shift, shift) * 2
+        for prior in (0.1, 0.5):
+            value, slope = toxicity.risk(g, positive, prior)
+            of_p, negative = brute(g, positive, prior)
+            kinds.add(negative >= 0)
+            assert value == pytest.approx(of_p + max(0.0, negative))
+            for k in range(19):
+                step = np.zeros(19)
+                step[k] = 1e-6
+                (a, b), (c, d) = brute(g + step, positive, prior), brute(g - step, positive, prior)
+                want = (a + b - c - d) / 2e-6 if negative >= 0 else -(b - d) / 2e-6
+                assert slope[k] == pytest.approx(want, abs=1e-6)
+    assert kinds == {True, False}
+
+
+def test_scores_are_sums_over_features():
+    rng = random.Random(13)
+    weights = np.zeros((1 << toxicity.BITS) + 1, np.float32)
+    words = [f"{rng.choice('abc')}{rng.choice('xyz')}{k % 9}tail{k}" for k in range(60)]
+    for row in toxicity._features(words[:30]):
+        weights[row] = rng.uniform(-1, 1)
+    weights[1 << toxicity.BITS] = 0
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(50)]
+    got = toxicity._scores(pa.array(texts), weights, 0.25)
+    for text, score in zip(texts, got, strict=True):
+        own = Counter(int(f) for w in set(text.split()) for f in toxicity._features([w])[0] if f < 1 << toxicity.BITS)
+        assert score == pytest.approx(0.25 + sum(weights[f] * math.log1p(n) for f, n in own.items()), abs=1e-5)
+
+
 def test_scores_are_of_whole_texts():
     weights = np.zeros((1 << toxicity.BITS) + 1, np.float32)
     weights[toxicity._features(["grumfle"])[0, 0]] = 2.0
@@ -203,7 +246,7 @@ def test_wand_finds_what_a_full_scan_finds():
     items = [decontaminate.Item(k, rng.choices(words, weights=[1 / (i + 1) for i in range(400)], k=rng.randint(5, 150)), 3) for k in range(300)]
     index = decontaminate.Index(items)
     for _ in range(100):
-        own = rng.choice(index.entries)[1]
+        own = rng.choice([words for item in items for words in decontaminate.parts(item)])
         query = sorted({index.terms[w] for w in rng.sample(own, max(1, len(own) * 2 // 3)) + rng.choices(list(index.terms), k=20)})
         for least in (0.1, 0.4, 0.7):
             sums: Counter[int] = Counter()
@@ -240,8 +283,31 @@ def test_an_index_in_parts_finds_the_same(spark, monkeypatch):
     whole = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
     text = {r.item_id: r.text for r in bench.collect()}
     assert whole == {(d.doc_id, k) for d in docs.collect() for k, t in text.items() if t in d.text}
+    scores = Counter(map(tuple, decontaminate.leaks(docs, bench).collect()))
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 2000)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == whole
+    assert sum(1 for _ in decontaminate._indexes(bench, 0.5)) > 2
+    assert Counter(map(tuple, decontaminate.leaks(docs, bench).collect())) == scores
+
+
+@pytest.mark.parametrize("share", [0.08, 0.15])
+def test_passages_of_common_words_are_found_in_chunks_of_any_size(share):
+    rng = random.Random(12)
+    words = [f"t{k}" for k in range(60)]
+    items = [decontaminate.Item(k, rng.choices(words, weights=[1 / (i + 1) for i in range(60)], k=40), 30) for k in range(400)]
+    index = decontaminate.Index(items, share)
+    text = [" ".join(rng.sample(words[:8], 5)) for _ in range(40)]
+    few = list(decontaminate._leaks(index, pa.array(text), share, 0.0, 0.0))
+    assert few
+    filler = ["t59 " * 130] * 3000  # passages by ranges of items: more than 2**19
+    many = list(decontaminate._leaks(index, pa.array(filler + text), share, 0.0, 0.0))
+    assert [(row - 3000, *rest) for row, *rest in many if row >= 3000] == few
+    want = set()
+    for row, t in enumerate(text):
+        for e, k in enumerate(index.item_of):
+            s = sum(x for w in set(t.split()) for d, x in zip(index.docs[index.terms[w]], index.impacts[index.terms[w]], strict=True) if d == e) if set(t.split()) <= set(index.terms) else 0
+            if s >= share:
+                want.add((row, k))
+    assert {(row, k) for row, k, *_ in few} == want
 
 
 # 10. line dedup
@@ -293,40 +359,6 @@ def test_lines_come_and_go(spark):
     assert drops == want
 
 
-def test_line_dedup_of_awkward_rows(spark):
-    df, rows = awkward(spark, ["keep\nshared", "shared\nkeep", "shared\n\n"])
-    found = line_dedup.dedup_lines(df).collect()
-    assert len(found) == len(rows)
-    text = {r.doc_id: r.text for r in found if r.doc_id is not None}
-    assert (text[0], text[1], text[3], text[9], text[10], text[11]) == (None, "", "\n\n", "keep\nshared", "", "\n")
-    kept = line_dedup.without_repeated_lines(df)
-    assert kept.columns == df.columns
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert {0, 1, 2, 3, 9} <= set(ids)
-    assert not {10, 11} & set(ids)
-    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("n", [0, 1, 5, 5000])
-def test_cuckoo_filter(n):
-    rng = np.random.default_rng(n)
-    a, b = rng.integers(-(2**63), 2**63 - 1, (2, n)), rng.integers(-(2**63), 2**63 - 1, (2, 20_000))
-    made = line_dedup.CuckooFilter(n)
-    assert made.insert(a[0], a[1])
-    assert made.contains(a[0], a[1]).all()
-    assert made.contains(b[0], b[1]).mean() < 0.01
-    made = line_dedup.CuckooFilter.of(made.data())
-    half = n // 2
-    made.delete(a[0, :half], a[1, :half])
-    assert made.contains(a[0, half:], a[1, half:]).all()
-    made.delete(a[0, half:], a[1, half:])
-    assert not made.table.any()
-
-
-def test_a_filter_that_is_too_full_says_so():
-    rng = np.random.default_rng(1)
-    h = rng.integers(0, 2**62, (2, 100))
-    assert not line_dedup.CuckooFilter(0).insert(h[0], h[1])
 def test_a_store_is_opened_again(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(line_dedup, "MERGE", 3)
     rng = random.Random(9)
@@ -368,3 +400,37 @@ def test_line_query_is_brute_force(spark, seed):
     assert line_dedup.maintained(df.limit(0), "doc_id > 5", "doc_id % 2 = 0").count() == 0
 
 
+def test_line_dedup_of_awkward_rows(spark):
+    df, rows = awkward(spark, ["keep\nshared", "shared\nkeep", "shared\n\n"])
+    found = line_dedup.dedup_lines(df).collect()
+    assert len(found) == len(rows)
+    text = {r.doc_id: r.text for r in found if r.doc_id is not None}
+    assert (text[0], text[1], text[3], text[9], text[10], text[11]) == (None, "", "\n\n", "keep\nshared", "", "\n")
+    kept = line_dedup.without_repeated_lines(df)
+    assert kept.columns == df.columns
+    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+    assert {0, 1, 2, 3, 9} <= set(ids)
+    assert not {10, 11} & set(ids)
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 5000])
+def test_cuckoo_filter(n):
+    rng = np.random.default_rng(n)
+    a, b = rng.integers(-(2**63), 2**63 - 1, (2, n)), rng.integers(-(2**63), 2**63 - 1, (2, 20_000))
+    made = line_dedup.CuckooFilter(n)
+    assert made.insert(a[0], a[1])
+    assert made.contains(a[0], a[1]).all()
+    assert made.contains(b[0], b[1]).mean() < 0.01
+    made = line_dedup.CuckooFilter.of(made.data())
+    half = n // 2
+    made.delete(a[0, :half], a[1, :half])
+    assert made.contains(a[0, half:], a[1, half:]).all()
+    made.delete(a[0, half:], a[1, half:])
+    assert not made.table.any()
+
+
+def test_a_filter_that_is_too_full_says_so():
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 2**62, (2, 100))
+    assert not line_dedup.CuckooFilter(0).insert(h[0], h[1])

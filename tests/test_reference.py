@@ -280,3 +280,65 @@ def test_accuracy_of_nothing_matched(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_remarks_go_only_where_they_stand_word_by_word(spark):
+    between = "\nNote that some recommendations are conditional, see below\n0, 'keep me', 'strong', 'high'\nLow confidence in estimates of effect."
+    df = spark.createDataFrame([(between,), (f"a{tables.BOILERPLATE[2]}b{tables.BOILERPLATE[1]}c",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.strip_literals(F.col("t"))).collect()] == [between, "abc", None]
+
+
+def test_none_of_the_candidates_is_a_judgement(spark):
+    gt = rec(spark, ("start the therapy now", "II", "C"), ("give x daily", "I", "A"))
+    ext = rec(spark, ("quite unlike", "I", "A"), ("quite unlike it", "I", "A"), ("very unlike", "I", "A"), ("not judged", "I", "A"))
+    chosen = spark.createDataFrame([(0, "2"), (1, "7"), (2, "1")], "row_id long, choice string")
+    found = by_id(match.cascade(ext, gt, adjudications=chosen))
+    assert {k: (r.match_stage, r.manual_validation) for k, r in found.items()} == {0: ("none", True), 1: ("none", False), 2: ("manual", True), 3: ("none", False)}
+    assert found[0].matched_text is None
+    assert found[0].match_score is None
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_scorers_with_candidates_lose_no_match(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(12)] + ["", "treatment", "of"]
+    make = lambda n: [(" ".join(rng.choices(words, k=rng.randint(1, 9))) + rng.choice(["", "x" * 30]), "I", "A") for _ in range(n)]
+    gt = make(60)
+    ext = [(t[: rng.randint(1, len(t) + 1)] + t[-rng.randint(1, 5) :] if rng.random() < 0.5 else t, c, e) for t, c, e in rng.choices(gt, k=50)] + make(20) + [("", "I", "A"), (None, "I", "A")]
+    e, g = rec(spark, *ext), rec(spark, *gt, (None, "I", "A"), ("", "I", "A"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for threshold in (60, 80, 95):
+        want = rows(match.fuzzy_matches(e, g, lambda a, b: fuzzy.edit_ratio(a, b), threshold))
+        assert rows(match.fuzzy_matches(e, g, fuzzy.edit_ratio, threshold)) == want
+        assert want
+    for threshold in (0.3, 0.6, 1.0):
+        want = rows(match.semantic_matches(e, g, lambda a, b: fuzzy.token_jaccard(a, b), threshold))
+        assert rows(match.semantic_matches(e, g, fuzzy.token_jaccard, threshold)) == want
+        assert want
+
+
+def test_cascade_makes_no_product_of_all_texts(spark):
+    gt = rec(spark, *((f"take {k} pills", "I", "A") for k in range(30)))
+    for scorer in (fuzzy.weighted_ratio, fuzzy.edit_ratio):
+        plan = match.cascade(gt, gt, scorer, fuzzy.token_jaccard)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan
+        assert "NestedLoop" not in plan
+
+
+def test_containing_is_containing(spark):
+    rng = random.Random(4)
+    bits = ["a", "b", "cc", "d\ne", "", "fgh"]
+    docs = [(k, rng.choice([None, "", " ".join(rng.choices(bits, k=rng.randint(0, 25)))])) for k in range(150)]
+    items = [(k, " ".join(rng.choices(bits, k=rng.randint(1, 5)))) for k in range(30)] + [(90, None), (91, ""), (92, "h a b"), (93, "zz zz zz")]
+    found = match.containing(spark.createDataFrame(docs, "k long, t string"), "k", "t", spark.createDataFrame(items, "i long, t string"), "i", "t")
+    assert {tuple(r) for r in found.collect()} == {(k, i) for k, t in docs for i, x in items if t is not None and x is not None and x in t}
+    assert found.columns == ["k", "i"]
+
+
+def test_entry_works_without_what_the_optional_folder_imports():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert 'cascade_match' in e.queries() and not any(q.startswith('op') for q in e.queries())"
+    made = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=False)
+    assert made.returncode == 0, made.stderr
