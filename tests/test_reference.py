@@ -186,13 +186,6 @@ def test_extraction_keeps_pages(spark):
     assert extraction.ask_fields(paged.select("doc", "page_content"), tables.constants(spark, "task", ("a", "b"))).count() == 8
 
 
-def test_remarks_go_whole(spark):
-    note = "\nNote that some recommendations are conditional and come with little confidence in estimates of effect."
-    strength = "\nNote: The strength of recommendations and level of confidence may be\nanything; see the evidence available for each condition."
-    df = spark.createDataFrame([("a" + strength + "b" + note + "c" + tables.BOILERPLATE[3],), ("\nNote that some recommendations are conditional",), (None,)], "t string")
-    assert [r[0] for r in df.select(text.strip_literals(F.col("t"))).collect()] == ["abc", "\nNote that some recommendations are conditional", None]
-
-
 def test_tables_of_pages(spark):
     html = "<p>x</p><table><tr><th>a</th><th>b</th></tr><tr><td>1 &amp; <b>2</b><td>3</tr></table><ul><li>i<li>ii</ul><table></table>"
     assert pages.html_tables_of(html) == [[["a", "b"], ["1 & 2", "3"]], [["i"], ["ii"]]]
