@@ -191,7 +191,7 @@ def test_scores_are_sums_over_features():
     got = toxicity._scores(pa.array(texts), weights, 0.25)
     for text, score in zip(texts, got, strict=True):
         own = Counter(int(f) for w in set(text.split()) for f in toxicity._features([w])[0] if f < 1 << toxicity.BITS)
-        assert score == pytest.approx(0.25 + sum(weights[f] * math.log1p(n) for f, n in own.items()), abs=1e-5)
+        assert score == pytest.approx(0.25 + sum(float(weights[f]) * math.log1p(n) for f, n in own.items()), abs=1e-5)
 
 
 def test_scores_are_of_whole_texts():
