@@ -30,6 +30,7 @@ from marlstone.llm.common import chunks, fresh, hashes, mix, normal_words, with_
 COORDINATES = 128
 THRESHOLD = 0.6
 SHINGLE = 2
+DEEPEST = 2  # times that a task branches nodes again; the root has been branched before
 ROUNDS = 4  # of branching across the cluster; nodes still large after them are compared block by block
 _NODE = "path bigint, vals binary, sig bigint, label bigint"
 _EDGES = "a bigint, b bigint"
@@ -166,13 +167,16 @@ def least_agreeing(threshold: float, coordinates: int) -> int:
     return int(np.ceil((threshold + (1 - threshold) / 256) * coordinates - 1e-9))
 
 
-def trees_for(threshold: float, recall: float) -> int:
-    """Trees so that a pair at the threshold meets with the recall, if its path ends after at most two branchings.
+def trees_for(threshold: float, recall: float, branchings: int = DEEPEST + 1) -> int:
+    """Trees so that a pair at the threshold meets with the recall, if its path ends after at most so many branchings.
 
     A pair as similar as the threshold has one common child on average, in number
-    about Poisson distributed; twice over that is met with probability 1 - exp(-(1 - 1/e)).
+    about Poisson distributed, so if a child's pair is met with probability p, its
+    parent's is with 1 - exp(-p).
     """
-    met = 1 - np.exp(-(1 - np.exp(-1.0)))
+    met = 1.0
+    for _ in range(branchings):
+        met = 1 - np.exp(-met)
     return int(np.ceil(np.log(1 - recall) / np.log(1 - met)))
 
 
@@ -266,7 +270,7 @@ def groups(
         vals = [v for b in parts for v in b.column("vals").to_pylist()]
         path = np.concatenate([b.column("path").to_numpy() for b in parts]).view(np.uint64)
         sig = hashes(vals).view(np.int64)
-        left, right = _tree(np.frombuffer(b"".join(vals), np.uint8).reshape(-1, coordinates), path, threshold, least, small, 2)
+        left, right = _tree(np.frombuffer(b"".join(vals), np.uint8).reshape(-1, coordinates), path, threshold, least, small, DEEPEST)
         left, right = _stars(sig[left], sig[right])
         yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
 
