@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 6 << 20  # text that a Python worker holds as words at one time
+BATCH_BYTES = 8 << 20  # of an Arrow batch of texts: the JVM and the worker each hold one whole
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _NOT_LETTER = r"[^\p{L}\p{N}]+"
 _scratch: list[str] = []
@@ -56,6 +59,21 @@ def _clean() -> None:
             shutil.rmtree(local_path(path), ignore_errors=True)
 
 
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """mapInArrow over batches of bounded bytes, however long the texts are, unless the session sets its own bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Gives the memory that Arrow and the C library keep for later back to the machine: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there."""
     spark = df.sparkSession
@@ -96,6 +114,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             high = max(low + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(low, high - low)
             low = high
+    release()
 
 
 def split_words(col: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import chunks, distinct, hashes, mix, normal_array, normal_words
+from marlstone.llm.common import chunks, distinct, hashes, map_texts, mix, normal_array, normal_words
 
 PASSAGE = 128
 SHARE = 0.5  # of the score that an item gets as its own query
@@ -29,6 +29,7 @@ RUN = 3
 K1, B = 1.2, 0.75
 BLOCK = 64  # postings
 RANGE = 2  # items
+PIECE = 2 << 20  # bytes of text whose passages a worker looks up at one time
 INDEX_BYTES = 4 << 20  # of benchmark text in one index, about 130 MB in a worker; a larger benchmark has several
 SCHEMA = "doc_id bigint, item_id bigint, bm25_share double, question_overlap double, answer_overlap double"
 
@@ -301,7 +302,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, question:
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in chunks(batches):
+            for batch in chunks(batches, size=PIECE):
                 rows = list(_leaks(shared.value, batch.column("text"), share, question, answer))
                 if rows:
                     row, item, score, q, a = map(list, zip(*rows, strict=True))
@@ -310,7 +311,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, question:
                         ["doc_id", "item_id", "bm25_share", "question_overlap", "answer_overlap"],
                     )
 
-        part = source.mapInArrow(run, SCHEMA)
+        part = map_texts(source, run, SCHEMA)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if found is None else found
 
@@ -325,12 +326,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, q
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in chunks(batches):
+            for batch in chunks(batches, size=PIECE):
                 keep = np.ones(len(batch), bool)
                 keep[[row for row, *_ in _leaks(shared.value, batch.column("text"), share, question, answer)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_texts(docs, run, docs.schema)
     return docs
 
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import chunks, distinct, normal_array, normal_words
+from marlstone.llm.common import chunks, distinct, map_texts, normal_array, normal_words
 
 SCHEMA = "doc_id bigint, license string, first_word bigint, n_matches bigint"
 SLACK = 12  # words that may stand between two mandatory phrases
@@ -191,7 +191,7 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, slack: int
 
     if not index.words:
         return spark.createDataFrame([], SCHEMA)
-    counted = source.select("doc_id", "text").mapInArrow(frequencies, "word bigint, n bigint").groupBy("word").sum("n").collect()
+    counted = map_texts(source.select("doc_id", "text"), frequencies, "word bigint, n bigint").groupBy("word").sum("n").collect()
     df = {r[0]: r[1] for r in counted}  # a row for each word of the templates
     index.rank([df.get(k, 0) for k in range(len(index.words))], df.get(-1, 0))
     shared = spark.sparkContext.broadcast(index)
@@ -206,7 +206,7 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, slack: int
                 ids = batch.column("doc_id").take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(name), pa.array(first, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "license", "first_word", "n_matches"])
 
-    return source.mapInArrow(find, SCHEMA)
+    return map_texts(source, find, SCHEMA)
 
 
 def oracle_sql(templates: Sequence[Template] = TEMPLATES, slack: int = SLACK) -> str:

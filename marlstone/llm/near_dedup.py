@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, fresh, hashes, mix, normal_words, with_key, written
+from marlstone.llm.common import chunks, fresh, hashes, map_texts, mix, normal_words, release, with_key, written
 
 COORDINATES = 128
 THRESHOLD = 0.6
@@ -239,7 +239,7 @@ def groups(
             yield pa.RecordBatch.from_arrays([rows.column("did"), rows.column("uid"), pa.array(whole), pa.array(short, pa.binary()), paths], ["did", "uid", "sig", "vals", "paths"])
 
     source = keyed.where("text is not null").select(F.col(did).alias("did"), F.col(uid).alias("uid"), "text")
-    signed = written(source.mapInArrow(sign, "did bigint, uid bigint, sig bigint, vals binary, paths array<bigint>"), "signatures")
+    signed = written(map_texts(source, sign, "did bigint, uid bigint, sig bigint, vals binary, paths array<bigint>"), "signatures")
     one = signed.groupBy("sig").agg(F.first(F.struct("vals", "paths")).alias("s"))
     # agreement by chance of values cut to 8 bits counts too
     least = least_agreeing(threshold, coordinates)
@@ -273,6 +273,8 @@ def groups(
         left, right = _tree(np.frombuffer(b"".join(vals), np.uint8).reshape(-1, coordinates), path, threshold, least, small, DEEPEST)
         left, right = _stars(sig[left], sig[right])
         yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
+        del parts, vals, path, sig
+        release()
 
     spark = docs.sparkSession
     # so many that a partition's rows fit a task at any size of the input

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, distinct, hashes, local_path, mix, normal_words, shared_folder, written
+from marlstone.llm.common import chunks, distinct, hashes, local_path, map_texts, mix, normal_words, shared_folder, written
 
 BITS = 32  # of a word's number
 UNK, START, END, FIRST = 0, 1, 2, 3
@@ -380,7 +380,7 @@ def train(docs: DataFrame) -> Model:
         _save(folder, f"word-{b}", {"keys": keys, "numbers": ids})
         return pa.table({"n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
-    numbered = source.mapInArrow(count_words, _BLOCK).groupBy("bucket").applyInArrow(number_words, "n bigint, tokens bigint")
+    numbered = map_texts(source, count_words, _BLOCK).groupBy("bucket").applyInArrow(number_words, "n bigint, tokens bigint")
     size, tokens = (x or 0 for x in numbered.agg(F.sum("n"), F.sum("tokens")).first())
     # so many that a bucket's trigrams fit a task at any size of the corpus
     buckets = max(shelves, tokens // BUCKET_TOKENS)
@@ -408,7 +408,7 @@ def train(docs: DataFrame) -> Model:
         return pa.Table.from_batches(list(_blocks(pairs, left, buckets, json.dumps(_of_counts(counts)))))
 
     # pairs of a word and the next, and how many words come before them
-    pairs = source.mapInArrow(count_trigrams, _TRIGRAMS).groupBy("bucket").applyInArrow(add_trigrams, _BLOCK)
+    pairs = map_texts(source, count_trigrams, _TRIGRAMS).groupBy("bucket").applyInArrow(add_trigrams, _BLOCK)
     shape = "bucket int, context binary, stats binary, word binary, types binary, of2 string, of3 string"
 
     def add_pairs(rows: pa.Table) -> pa.Table:
@@ -569,4 +569,4 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     schema = "doc_id bigint, n_words bigint, log_prob double, perplexity double"
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
+    return map_texts(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, schema)

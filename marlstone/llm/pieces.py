@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from marlstone.llm.common import chunks, fresh, per_text
+from marlstone.llm.common import chunks, fresh, map_texts, per_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -450,7 +450,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pc.list_value_length(ids), same], ["doc_id", "ids", "n_ids", "round_trip"])
 
     schema = "doc_id bigint, ids array<int>, n_ids int, round_trip boolean"
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
+    return map_texts(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
@@ -473,4 +473,4 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFram
             texts = [None if x is None else x.decode("utf-8", "replace") for x in _decoded(pieces, own).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
-    return encoded.mapInArrow(run, schema)
+    return map_texts(encoded, run, schema)

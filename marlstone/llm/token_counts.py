@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import chunks, per_text, split_words
+from marlstone.llm.common import chunks, map_texts, per_text, split_words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SCHEMA = "doc_id bigint, n_words bigint, n_tokens bigint"
@@ -157,4 +157,4 @@ def token_counts(docs: DataFrame, vocabulary: str | Iterable[bytes] = VOCABULARY
                 ["doc_id", "n_words", "n_tokens"],
             )
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(count, SCHEMA)
+    return map_texts(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), count, SCHEMA)

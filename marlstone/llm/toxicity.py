@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, distinct, hashes, normal_words
+from marlstone.llm.common import chunks, distinct, hashes, map_texts, normal_words
 
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             s = np.round(_scores(text, weights, shared.value.bias), 6)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, mask=none), pa.array((s > 0) & ~none)], ["doc_id", "score", "toxic"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, score double, toxic boolean")
+    return map_texts(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, score double, toxic boolean")
 
 
 def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -242,4 +242,4 @@ def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
             s = np.round(_scores(text, weights, shared.value.bias), 6)
             yield batch.filter(pc.or_(pc.is_null(text), pa.array(s <= 0)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
