@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 6 << 20  # text that a Python worker holds as words at one time
-BATCH_BYTES = 8 << 20  # of an Arrow batch of texts: the JVM and the worker each hold one whole
+BATCH_BYTES = 6 << 20  # of an Arrow batch of texts, a chunk or so: the JVM and the worker each hold one whole
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _NOT_LETTER = r"[^\p{L}\p{N}]+"
 _scratch: list[str] = []
@@ -105,13 +105,15 @@ def with_key(docs: DataFrame) -> tuple[DataFrame, str, str]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of about ``size`` bytes of text, or one longer text."""
+    """Slices of the batches of about ``size`` bytes of text, or one longer text; those of a batch are about equal."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        each = 1.1 * total / max(1, round(total / size))  # some room, so that no small slice is left over
         low = 0
         while low < len(ends):
             before = ends[low - 1] if low else 0
-            high = max(low + 1, int(np.searchsorted(ends, before + size, "right")))
+            high = max(low + 1, int(np.searchsorted(ends, before + each, "right")))
             yield batch.slice(low, high - low)
             low = high
     release()
