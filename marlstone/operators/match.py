@@ -9,20 +9,23 @@ that lose none; another scorer sees all pairs of distinct texts, as only it can
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 from pyspark.sql.window import Window
 
+from marlstone.functions import nearest
 from marlstone.functions.fuzzy import edit_ratio, normal_expr, token_jaccard, token_sort_expr, weighted_ratio
 from marlstone.functions.text import choice_kind, same_folded
 
 Scorer = Callable[[Column, Column], Column]
 FUZZY, SEMANTIC, CANDIDATES = 95, 0.6, 10
+BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 32 << 20  # vectors of a block at most, about, and their bytes in double precision
+BLOCKS, BLOCK_LEAST = 16, 8192  # more blocks than these limits ask for, so many, if they hold as many vectors each
 COLUMNS = (
     *("row_id", "recommendation_text", "recommendation_grade", "recommendation_level", "matched_text"),
     *("grade_eval", "level_eval", "match_score", "manual_validation", "match_stage"),
@@ -194,52 +197,54 @@ def vector_argmax(queries: DataFrame, data: DataFrame, similarity: Scorer) -> Da
     return scored.groupBy("query_id").agg(best).select("query_id", "b.best_id", "b.sim")
 
 
-def nearest_vectors(queries: DataFrame, data: DataFrame, block_rows: int = 2048) -> DataFrame:
-    """vector_argmax by cosine, a block of queries and a block of data at a time: one matrix product instead of a loop for each pair.
+def nearest_vectors(queries: DataFrame, data: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """vector_argmax by cosine, a block of queries and a block of data at a time, by matrix products; equal similarities are told as DuckDB does.
 
-    Ids are integers. Vectors of zeros, with a null or NaN entry, or of another length than
-    those of the block that they meet have no similarity. The number of blocks grows with
-    the tables, so that a task's share doesn't.
+    Ids are integers. Vectors of zeros, with an entry that is null or no finite number, or of
+    another length than those that they meet have no similarity. The number of blocks
+    grows with the tables, so that a task's share doesn't; a block is stored once and read
+    for each that it meets. Where queries and data are one table, two blocks meet once for both directions.
     """
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        n = max(1, -(-df.count() // block_rows))
-        rows = df.where("id is not null and v is not null").groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"))
-        return rows.agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias(name)).drop("b")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    mutual = queries is data
+    known = lambda df: df.where("id is not null and v is not null and size(v) > 0")
+    sizes = [known(df).agg(F.count("*"), F.sum(F.size("v").cast("long"))).first() for df in ([data] if mutual else [queries, data])]
+    rows, values = max(r for r, _ in sizes), max(v or 0 for _, v in sizes)
+    n = max(1, -(-rows // block_rows), -(-8 * values // BLOCK_BYTES), min(BLOCKS, rows // BLOCK_LEAST))
+    single = all(df.schema["v"].dataType.elementType == FloatType() for df in (queries, data))
+    kind = np.float32 if single else np.float64
+
+    def packed(table: pa.Table) -> pa.Table:
+        ids, v, first = nearest.pack(table["id"].combine_chunks(), table["v"].combine_chunks())
+        return pa.table({"d": table["d"][:1], "b": table["b"][:1], "ids": pa.array([ids], pa.binary()), "v": pa.array([v], pa.binary()), "first": pa.array([first], pa.int32())})
+
+    def blocks(df: DataFrame, side: str) -> DataFrame:
+        vectors = known(df).select(
+            F.size("v").alias("d"),
+            F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(n)).cast("int").alias("b"),
+            F.col("id").cast("long").alias("id"),
+            F.col("v").cast("array<float>" if single else "array<double>").alias("v"),
+        )
+        made = vectors.groupBy("d", "b").applyInArrow(packed, "d int, b int, ids binary, v binary, first int").repartitionById(n, "b")
+        return made.select(*(F.col(c).alias(side + c) for c in ("d", "b", "ids", "v", "first")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, d in zip(batch["q"], batch["d"], strict=True):
-                left, right = _by_length(q), _by_length(d)
-                for n in left.keys() & right.keys():
-                    (qi, x), (di, y) = left[n], right[n]
-                    sim = x @ y.T
-                    sim[qi[:, None] == di[None, :]] = -np.inf
-                    at = sim.argmax(axis=1)
-                    made = pd.DataFrame({"query_id": qi, "best_id": di[at], "sim": sim[np.arange(len(qi)), at]})
-                    yield made[np.isfinite(made.sim)]
-
-    pairs = blocks(queries, "q").crossJoin(blocks(data, "d"))
-    found = pairs.mapInPandas(compare, "query_id bigint, best_id bigint, sim double")
+            for k in range(len(batch)):
+                of = lambda name, k=k, batch=batch: batch.column(name)[k].as_py()
+                left, right = (nearest.sides(of(s + "ids"), of(s + "v"), of(s + "first"), of("qd"), kind) for s in "qd")
+                same = of("qb") == of("db")
+                for ids, best, sim in nearest.compare(left, right, same, mutual and not same):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best), pa.array(sim)], ["query_id", "best_id", "sim"])
+
+    meet = F.col("qd") == F.col("dd")
+    if mutual:
+        meet &= F.col("qb") <= F.col("db")
+    pairs = blocks(queries, "q").join(blocks(data, "d").hint("shuffle_replicate_nl"), meet)
+    found = pairs.mapInArrow(compare, "query_id bigint, best_id bigint, sim double")
     best = F.max_by(F.struct("best_id", "sim"), F.struct("sim", -F.col("best_id"))).alias("b")
     return found.groupBy("query_id").agg(best).select("query_id", "b.best_id", "b.sim")
 
 
-def _by_length(rows: Sequence[dict[str, Any]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors at length 1, by the vectors' length."""
-    sized: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for row in rows:
-        v = np.asarray(row["v"], np.float64)
-        sized.setdefault(len(v), []).append((row["id"], v))
-    out = {}
-    for n, own in sized.items():
-        ids, x = np.array([i for i, _ in own]), np.stack([v for _, v in own])
-        norm = np.sqrt((x**2).sum(axis=1))
-        good = np.isfinite(norm) & (norm > 0)
-        out[n] = (ids[good], x[good] / norm[good, None])
-    return {n: found for n, found in out.items() if len(found[0])}
-
-
 def adjudicated_matches(ext: DataFrame, gt: DataFrame, candidates: DataFrame, adjudications: DataFrame) -> DataFrame:
     """Records that somebody judged: adjudications has row_id and choice, the candidate's number from 0.
 

@@ -6,11 +6,13 @@ import itertools
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from marlstone.functions import csv_text, fuzzy, text
+from marlstone.functions import csv_text, fuzzy, nearest, text
 from marlstone.functions.vectors import cosine
 from marlstone.models import NATIVE, SimilarityModel
 from marlstone.operators import match, metrics, roc, sampling
@@ -24,6 +26,10 @@ def rec(spark, *rows):
     return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], R)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def by_id(df):
     return {r.row_id: r for r in df.collect()}
 
@@ -259,6 +265,51 @@ def test_nearest_vectors_are_those_of_the_expression(spark):
         assert {(r.query_id, round(r.sim, 9)) for r in match.nearest_vectors(v, v, size).collect()} == want
 
 
+def test_nearest_vectors_tell_equal_similarities_as_the_sql_does(spark):
+    rng = np.random.default_rng(6)
+    some = rng.normal(size=(20, 9))
+    x = np.concatenate([some, some * 3, -some, some[:6], np.tile(some[7], (12, 1))]).astype(np.float32)
+    rows = [(k, [float(e) for e in v]) for k, v in enumerate(x[rng.permutation(len(x))])]
+
+    def sim(a, b):
+        dot = squares = others = 0.0
+        for p, q in zip(a, b, strict=True):
+            dot, squares, others = dot + p * q, squares + p * p, others + q * q
+        return max(-1.0, min(dot / math.sqrt(squares * others), 1.0))
+
+    want = {(k, *max(((sim(v, w), -n) for n, w in rows if n != k))) for k, v in rows}
+    for kind in ("float", "double"):
+        v = spark.createDataFrame(rows, f"id long, v array<{kind}>")
+        for data, size in ((v, 30), (v.select("id", "v"), 30), (v, 2048)):
+            assert {(r.query_id, r.sim, -r.best_id) for r in match.nearest_vectors(v, data, size).collect()} == want
+    tiny = spark.createDataFrame([(0, [1e-200, 0.0]), (1, [3e-200, 3e-200]), (2, [1e200, -2e200]), (3, [float("inf"), 1.0])], "id long, v array<double>")
+    assert {(r.query_id, r.best_id, round(r.sim, 6)) for r in match.nearest_vectors(tiny, tiny).collect()} == {(0, 1, 0.707107), (1, 0, 0.707107), (2, 0, 0.447214)}
+
+
+def test_blocks_of_one_table_meet_once_for_both_directions(spark):
+    rng = np.random.default_rng(7)
+    v = spark.createDataFrame([(k, [float(e) for e in x]) for k, x in enumerate(rng.normal(size=(60, 3)))], "id long, v array<float>")
+    found = match.nearest_vectors(v, v, 20)
+    [join] = [line for line in plan_of(found).splitlines() if "Cartesian" in line]
+    assert "<=" in join  # each pair of blocks in one order only
+    asked = match.nearest_vectors(v.where("id < 30"), v, 20).collect()
+    assert {tuple(r) for r in asked} == {tuple(r) for r in found.where("query_id < 30").collect()}
+
+
+def test_equal_vectors_are_compared_as_two(monkeypatch):
+    x = np.concatenate([np.tile(np.ones(4, np.float32), (3000, 1)), np.eye(4, dtype=np.float32)])
+    ids = np.append(np.arange(3000), [7000, 7001, 7002, 7003])[::-1]
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x[::-1].ravel()), 4).cast(pa.list_(pa.float32()))
+    block = nearest.sides(*nearest.pack(pa.array(ids), lists), 4, np.float32)
+    assert [len(side) for side in block] == [6, 2998]
+    computed = []
+    dots = nearest._dots
+    monkeypatch.setattr(nearest, "_dots", lambda a, b: computed.append(len(a)) or dots(a, b))
+    found = {q: (b, s) for part in nearest.compare(block, block, True, False) for q, b, s in zip(*part, strict=True)}
+    assert found == {0: (1, 1.0), **{k: (0, 1.0) for k in range(1, 3000)}, **{k: (0, 0.5) for k in ids[:4].tolist()}}
+    assert sum(computed) < 3 * len(ids)
+
+
 def test_choices(spark):
     df = spark.createDataFrame([("0",), ("9",), ("10",), ("11",), ("x",), ("",), (None,), ("99999999999999999999",)], "c string")
     kinds = [r[0] for r in df.select(text.choice_kind(F.col("c"), F.lit(10))).collect()]
