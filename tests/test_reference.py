@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -310,6 +311,21 @@ def test_equal_vectors_are_compared_as_two(monkeypatch):
     assert sum(computed) < 3 * len(ids)
 
 
+def test_semantic_threshold_is_that_of_the_sql_among_equal_similarities(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    some = rng.normal(size=(40, 8))
+    x = np.concatenate([some, some * 3, some * 7, some * -5]).astype(np.float32)
+    table = spark.createDataFrame([(k, [float(e) for e in v]) for k, v in enumerate(x[rng.permutation(len(x))])], "vec_id long, embedding array<float>")
+    table.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    query = __spark_entry__.queries()["semantic_threshold"](spark, str(tmp_path))
+    [join] = [line for line in plan_of(query).splitlines() if "Cartesian" in line]
+    assert "<=" in join  # the step's blocks meet once
+    sql = __spark_entry__.oracle_sql()["semantic_threshold"]
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        assert sorted(map(tuple, query.collect())) == sorted(db.sql(sql).fetchall())
+
+
 def test_choices(spark):
     df = spark.createDataFrame([("0",), ("9",), ("10",), ("11",), ("x",), ("",), (None,), ("99999999999999999999",)], "c string")
     kinds = [r[0] for r in df.select(text.choice_kind(F.col("c"), F.lit(10))).collect()]
