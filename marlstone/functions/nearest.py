@@ -13,8 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-HEIGHT, WIDTH = 256, 1024  # vectors of either side in one product
-PENDING = 1 << 19  # pairs that wait to be computed, besides those of one product
+HEIGHT, WIDTH = 384, 512  # vectors of either side in one product
 CHUNK = 1 << 13  # pairs computed at a time
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -78,42 +77,32 @@ def sides(ids: bytes, vectors: bytes, first: int, length: int, kind: type) -> tu
 
 
 class _Best:
-    """The nearest so far of each vector of a side, among those of another."""
+    """The nearest of each vector of a side, among those of another.
 
-    def __init__(self, side: Side, other: Side) -> None:
-        self.side, self.other = side, other
-        self.sim, self.id = np.full(len(side), -np.inf), np.full(len(side), np.iinfo(np.int64).max)
-        self.top = np.full(len(side), -np.inf, np.float32)
+    Of each vector and each tile of the other side the products keep the greatest similarity only. Tiles that come within
+    rounding of the greatest of all, mostly one, are multiplied again, and what comes that near in them is computed.
+    """
+
+    def __init__(self, side: Side, other: Side, tile: int, same: bool) -> None:
+        self.side, self.other, self.tile, self.same = side, other, tile, same
+        self.most = np.full((-(-len(other) // tile), len(side)), -np.inf, np.float32)
         # rounding of the entries and of each sum, for the nearest and for the one taken for it
         self.slack = np.float32(2 * (side.unit.shape[1] + 8) * 2.0**-24)
-        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.waiting = 0
-
-    def see(self, tile: np.ndarray, low: int, other_low: int, axis: int) -> None:
-        """Similarities of the vectors from low on to others from other_low on, which run along axis."""
-        own = tile.max(axis=axis)
-        top = self.top[low : low + len(own)]
-        np.maximum(top, own, out=top)
-        rows = np.flatnonzero((own >= top - self.slack) & (own > -np.inf))
-        if not len(rows):
-            return
-        part, least = tile.take(rows, axis=1 - axis), np.expand_dims(top[rows] - self.slack, axis)
-        place = np.flatnonzero(part >= least)  # flat, as nonzero is slow in two dimensions
-        row, at = np.divmod(place, part.shape[1])[:: 1 if axis == 1 else -1]
-        self.pending.append((low + rows[row], other_low + at, part.ravel()[place]))
-        self.waiting += len(row)
-        if self.waiting >= PENDING:
-            self.settle()
-
-    def settle(self) -> None:
-        if not self.pending:
-            return
-        row, at, near = (np.concatenate(c) for c in zip(*self.pending, strict=True))
-        self.pending, self.waiting = [], 0
-        maybe = near >= self.top[row] - self.slack
-        row, at = row[maybe], at[maybe]
-        for k in range(0, len(row), CHUNK):
-            self._compute(row[k : k + CHUNK], at[k : k + CHUNK])
+        self.sim, self.id = np.full(len(side), -np.inf), np.full(len(side), np.iinfo(np.int64).max)
+
+    def _near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs that can be the nearest."""
+        top = self.most.max(axis=0)
+        least = np.where(top > -np.inf, top - self.slack, np.float32(np.inf))
+        for k, most in enumerate(self.most):
+            low, rows = k * self.tile, np.flatnonzero(most >= least)
+            columns, theirs = (x[low : low + self.tile] for x in (self.other.unit, self.other.ids))
+            for some in (rows[n : n + WIDTH] for n in range(0, len(rows), WIDTH)):
+                tile = np.matmul(self.side.unit[some], columns.T)
+                if self.same:
+                    tile[self.side.ids[some][:, None] == theirs[None, :]] = -np.inf
+                row, at = np.divmod(np.flatnonzero(tile >= least[some][:, None]), len(columns))  # flat, as nonzero is slow in two dimensions
+                yield some[row], low + at
 
     def _compute(self, row: np.ndarray, at: np.ndarray) -> None:
         sim = _dots(self.side.x[row], self.other.x[at]) / np.sqrt(self.side.squares[row] * self.other.squares[at])
@@ -125,38 +114,47 @@ class _Best:
         self.sim[row[better]], self.id[row[better]] = sim[better], ids[better]
 
     def found(self) -> Found:
-        self.settle()
+        for row, at in self._near():
+            for k in range(0, len(row), CHUNK):
+                self._compute(row[k : k + CHUNK], at[k : k + CHUNK])
         some = np.isfinite(self.sim)
         return self.side.ids[some], self.id[some], self.sim[some]
 
 
 def _scan(a: Side, b: Side, same: bool, both: bool) -> Iterator[Found]:
-    """The nearest in b of each of a, and if both, the other way too. Equal ids, which there are only in the same block, don't count."""
+    """The nearest in b of each of a, and if both, the other way too. Equal ids, which there are only in the same block, don't count.
+
+    If both are asked of one block, a and b are equal and each two of their tiles meet once.
+    """
     if not len(a) or not len(b):
         return
-    best, back = _Best(a, b), _Best(b, a) if both else None
+    best, back = _Best(a, b, WIDTH, same), _Best(b, a, HEIGHT, same) if both else None
     space = np.empty(HEIGHT * WIDTH, np.float32)
-    for low in range(0, len(a), HEIGHT):
+    for n, low in enumerate(range(0, len(a), HEIGHT)):
         rows = a.unit[low : low + HEIGHT]
         mine = a.ids[low : low + HEIGHT]
-        for k in range(0, len(b), WIDTH):
+        for m in range(low // WIDTH if same and both else 0, len(best.most)):
+            k = m * WIDTH
             columns = b.unit[k : k + WIDTH]
             tile = np.matmul(rows, columns.T, out=space[: len(rows) * len(columns)].reshape(len(rows), len(columns)))
             if same:
                 theirs = b.ids[k : k + WIDTH]
                 if mine[0] <= theirs[-1] and theirs[0] <= mine[-1]:
                     tile[mine[:, None] == theirs[None, :]] = -np.inf
-            best.see(tile, low, k, 1)
+            np.maximum.reduce(tile, axis=1, out=best.most[m, low : low + HEIGHT])
             if back:
-                back.see(tile, k, low, 0)
+                np.maximum.reduce(tile, axis=0, out=back.most[n, k : k + WIDTH])
     yield best.found()
     if back:
         yield back.found()
 
 
 def compare(left: tuple[Side, Side], right: tuple[Side, Side], same: bool, both: bool) -> Iterator[Found]:
-    """Ids of left's vectors, of the nearest of right's to each and their similarity; if both, right's among left's too."""
+    """Ids of left's vectors, of the nearest of right's to each and their similarity; if both, right's among left's too.
+
+    If same and both, left and right are one block, and a vector can come twice: its nearest is the better of the two.
+    """
     yield from _scan(left[0], right[0], same, both)
     yield from _scan(left[1], right[0], same, False)
-    if both:
+    if both and not same:
         yield from _scan(right[1], left[0], same, False)

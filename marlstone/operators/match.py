@@ -233,7 +233,7 @@ def nearest_vectors(queries: DataFrame, data: DataFrame, block_rows: int = BLOCK
                 of = lambda name, k=k, batch=batch: batch.column(name)[k].as_py()
                 left, right = (nearest.sides(of(s + "ids"), of(s + "v"), of(s + "first"), of("qd"), kind) for s in "qd")
                 same = of("qb") == of("db")
-                for ids, best, sim in nearest.compare(left, right, same, mutual and not same):
+                for ids, best, sim in nearest.compare(left, right, same, mutual):
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best), pa.array(sim)], ["query_id", "best_id", "sim"])
 
     meet = F.col("qd") == F.col("dd")

@@ -311,6 +311,26 @@ def test_equal_vectors_are_compared_as_two(monkeypatch):
     assert sum(computed) < 3 * len(ids)
 
 
+def test_vectors_of_one_block_meet_once_for_both_directions(monkeypatch):
+    rng = np.random.default_rng(9)
+    some = rng.normal(size=(2500, 8)).astype(np.float32)
+    x = np.concatenate([some, some * 3, some[:1500] * -5])[rng.permutation(6500)]
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float32()))
+    block = nearest.sides(*nearest.pack(pa.array(np.arange(len(x))), lists), 8, np.float32)
+    products, product = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, b, **how: products.append(len(a) * b.shape[1]) or product(a, b, **how))
+    found = {}
+    for part in nearest.compare(block, block, True, True):
+        for q, b, s in zip(*(c.tolist() for c in part), strict=True):
+            found[q] = min(found.get(q, (2.0, 0)), (-s, b))
+    assert sum(products) < 0.8 * len(x) ** 2  # those multiplied again for the nearest among them
+    squares = nearest._squares(x)
+    for q in rng.choice(len(x), 300, replace=False).tolist():
+        sims = np.clip(nearest._dots(np.tile(x[q], (len(x), 1)), x) / np.sqrt(squares[q] * squares), -1.0, 1.0)
+        sims[q] = -np.inf
+        assert found[q] == (-sims.max(), sims.argmax())
+
+
 def test_semantic_threshold_is_that_of_the_sql_among_equal_similarities(spark, tmp_path):
     rng = np.random.default_rng(8)
     some = rng.normal(size=(40, 8))
